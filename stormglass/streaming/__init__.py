@@ -1,0 +1 @@
+"""Intentionally empty: the engine is batch only, no operator of the inventory is a stream."""
