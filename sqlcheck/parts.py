@@ -75,20 +75,19 @@ def filled(value: str, order: str = "PARTITION BY asset ORDER BY date") -> str:
     return f"last_value({value} IGNORE NULLS) OVER ({order} ROWS UNBOUNDED PRECEDING)"
 
 
-def macro_filled(source: str) -> str:
-    return ", ".join(f"{filled(v, 'ORDER BY date')} AS {v}" for v in MACRO)
+MACRO_FILLED = ", ".join(f"{filled(v, 'ORDER BY date')} AS {v}" for v in MACRO)
 
 
 def on_dates(panel: str) -> str:
     """Macro values on panel dates, carried forward."""
     return f"""
-  SELECT date, {macro_filled(panel)}
+  SELECT date, {MACRO_FILLED}
   FROM (SELECT DISTINCT date FROM {panel}) LEFT JOIN macro_wide USING (date)"""
 
 
 ASOF = f"""
   SELECT * EXCLUDE (present) FROM (
-    SELECT date, present, {macro_filled('')}
+    SELECT date, present, {MACRO_FILLED}
     FROM (SELECT DISTINCT date, true AS present FROM panel) FULL JOIN macro_wide USING (date))
   WHERE present"""
 
@@ -342,7 +341,7 @@ TABLES = {
     "macro_long": MACRO_LONG,
     "macro_wide": MACRO_WIDE,
     "on_dates": on_dates("panel"),
-    "asof": ASOF,
+    "latest": ASOF,
     "features": features("panel"),
     "gap_features": features("gaps"),
     "brand": BRAND,
@@ -369,7 +368,7 @@ NEEDS = {
     "gaps": ["panel"],
     "macro_wide": ["macro_long"],
     "on_dates": ["panel", "macro_wide"],
-    "asof": ["panel", "macro_wide"],
+    "latest": ["panel", "macro_wide"],
     "features": ["panel"],
     "gap_features": ["gaps"],
     "brand_features": ["brand"],

@@ -106,7 +106,7 @@ SQL["ffill_by_asset"] = sql(
                coalesce(CASE WHEN day(date) <> 13 THEN volume END, 0.0) AS volume FROM gaps""",
 )
 SQL["macro_wide"] = sql("macro_wide", "SELECT date, " + cols(*[f"~{v}" for v in MACRO]) + " FROM macro_wide")
-for _name, _source in (("macro_panel_join", "on_dates"), ("macro_asof", "asof")):
+for _name, _source in (("macro_panel_join", "on_dates"), ("macro_asof", "latest")):
     SQL[_name] = sql(
         _source,
         "SELECT date, asset, " + cols("~close", *[f"~{v}" for v in MACRO])
@@ -346,7 +346,7 @@ SQL["brand_breadth_by_group"] = sql(
 
 
 def _pct(value: str, decimals: int = 4, sign: str = "") -> str:
-    return f"printf('%{sign}.{decimals}f%%', round_even({value} * 100, {decimals}))"
+    return f"coalesce(printf('%{sign}.{decimals}f%%', round_even({value} * 100, {decimals})), 'nan%')"
 
 
 _overall_verdict = f"""
@@ -396,8 +396,7 @@ SQL["event_performance"] = sql(
     "panel events_",
     f"""SELECT crisis_name, asset, {CLASS} AS class,
                {cols('~return_pct = change * 100', '~max_drawdown_pct = low * 100')},
-               coalesce({_pct('change', 2, '+')}, 'null%') AS return_text,
-               coalesce({_pct('low', 2)}, 'null%') AS max_drawdown_text,
+               {_pct('change', 2, '+')} AS return_text, {_pct('low', 2)} AS max_drawdown_text,
                coalesce(change >= 0, false) AS survived FROM moves""",
     moves=_moves,
 )
@@ -540,14 +539,14 @@ SQL["display_names"] = sql(
 
 SQL["portfolio_daily"] = sql("daily", f"SELECT {cols('date', '~portfolio', '~benchmark')} FROM daily")
 SQL["portfolio_cumulative"] = sql(
-    "levels", f"SELECT {cols('date', 'strategy', '~cumulative_return = level - 1')} FROM levels"
+    "levels", f"SELECT {cols('date', 'strategy', '~cumulative_return = (level - 1)::FLOAT::DOUBLE')} FROM levels"
 )
 SQL["portfolio_drawdown"] = sql(
     "falls", f"SELECT {cols('date', 'strategy', '~drawdown = drawdown * 100')} FROM falls"
 )
 SQL["portfolio_stats"] = sql(
     "falls",
-    f"""SELECT strategy, {cols('~total_return', '~annual_return', '~annual_volatility',
+    f"""SELECT strategy, {cols('~total_return = total_return::FLOAT::DOUBLE', '~annual_return', '~annual_volatility',
                '~sharpe_ratio = CASE WHEN annual_volatility > 0 THEN annual_return / annual_volatility ELSE 0.0 END',
                '~max_drawdown')}
         FROM (SELECT *, pow(1 + total_return, 252.0::DOUBLE / n) - 1 AS annual_return
@@ -576,10 +575,7 @@ _prices = _report.format(
     source="asset", kind="price", table="landed",
     empty="CAST(close IS NULL AS INTEGER) + CAST(adj_close IS NULL AS INTEGER)",
 )
-_values = _report.format(
-    source="variable", kind="macro", table="landed_macro", empty="CAST(value IS NULL OR dot AS INTEGER)"
-)
-_values = _values.replace("CAST(value IS NULL OR dot AS INTEGER)", "0")
+_values = _report.format(source="variable", kind="macro", table="landed_macro", empty="0")
 SQL["quality_report_prices"] = sql("gaps", _prices.strip(), landed=LANDED)
 SQL["quality_report_macro"] = sql("macro_long", _values.strip(), landed_macro=LANDED_MACRO)
 SQL["quality_totals"] = sql(

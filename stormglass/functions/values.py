@@ -56,9 +56,10 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def percent_text(fraction: Column, decimals: int, signed: bool = False) -> Column:
-    """Fraction as fixed-decimal percent text."""
+    """Fraction as fixed-decimal percent text, ``nan%`` where it is missing."""
     sign = "+" if signed else ""
-    return F.format_string(f"%{sign}.{decimals}f%%", F.bround(fraction * 100, decimals))
+    text = F.format_string(f"%{sign}.{decimals}f%%", F.bround(fraction * 100, decimals))
+    return F.when(fraction.isNotNull(), text).otherwise("nan%")
 
 
 def class_of(asset: Column, classes, default: str) -> Column:

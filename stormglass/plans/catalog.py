@@ -56,6 +56,10 @@ def tidy(df: DataFrame) -> DataFrame:
     )
 
 
+def single(name: str) -> F.Column:
+    return F.col(name).cast("float").cast("double")
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = lambda spark, folder: tidy(function(spark, folder))
     return function
@@ -65,17 +69,18 @@ def query(function: Query) -> Query:
 
 
 def macro(spark, folder):
-    return CL.macro_wide(
-        CL.clean_macro(WH.macro_long(spark, folder), [F.col("value")]), PROFILE.macro_variables
-    )
+    return CL.macro_wide(WH.macro_long(spark, folder), PROFILE.macro_variables)
 
 
-def workspace(spark, folder, columns=()):
-    return W.build(WH.panel(spark, folder), macro(spark, folder), PROFILE, list(columns))
+def workspace(spark, folder, columns=(), correlations=False, reused=False):
+    return W.build(
+        WH.panel(spark, folder), macro(spark, folder), PROFILE, list(columns),
+        correlations=correlations, reused=reused,
+    )
 
 
-def labelled(spark, folder, columns=()):
-    return workspace(spark, folder, columns).labelled
+def labelled(spark, folder, columns=(), **options):
+    return workspace(spark, folder, columns, **options).labelled
 
 
 def period(spark, folder):
@@ -231,7 +236,8 @@ def ffill_by_asset(spark, folder):
 
 @query
 def macro_wide(spark, folder):
-    return macro(spark, folder)
+    clean = CL.clean_macro(WH.macro_long(spark, folder), [F.col("value")])
+    return CL.macro_wide(clean, PROFILE.macro_variables)
 
 
 @query
@@ -273,7 +279,7 @@ def csv_roundtrip(spark, folder):
 def analysis_panel(spark, folder):
     bars = asset_features(WH.panel(spark, folder), PROFILE).columns
     wanted = [c for c in K.analysis_columns(PROFILE) if c in bars]
-    return K.analysis_panel(labelled(spark, folder, wanted), PROFILE)
+    return K.analysis_panel(labelled(spark, folder, wanted, correlations=True), PROFILE)
 
 
 @query
@@ -333,8 +339,8 @@ def rolling_corr_view(spark, folder):
 
 @query
 def rolling_corr_onto_panel(spark, folder):
-    space = workspace(spark, folder)
-    return space.labelled.select("date", "asset", *PROFILE.rolling_corr_columns)
+    rows = labelled(spark, folder, correlations=True)
+    return rows.select("date", "asset", *PROFILE.rolling_corr_columns)
 
 
 @query
@@ -433,12 +439,14 @@ def top_assets(spark, folder):
 
 @query
 def defensive_metrics(spark, folder):
-    return SC.defensive_metrics(labelled(spark, folder), PROFILE)
+    return SC.defensive_metrics(
+        labelled(spark, folder, correlations=True, reused=True), PROFILE
+    )
 
 
 @query
 def safe_haven_score(spark, folder):
-    return SC.safe_haven_score(labelled(spark, folder), PROFILE)
+    return SC.safe_haven_score(labelled(spark, folder, correlations=True, reused=True), PROFILE)
 
 
 def _brand_labelled(spark, folder):
@@ -485,7 +493,7 @@ def event_verdicts(spark, folder):
 
 @query
 def insights(spark, folder):
-    rows = labelled(spark, folder)
+    rows = labelled(spark, folder, correlations=True, reused=True)
     return E.insights(rows, SC.safe_haven_score(rows, PROFILE), PROFILE)
 
 
@@ -632,12 +640,15 @@ def portfolio_daily(spark, folder):
 
 @query
 def portfolio_cumulative(spark, folder):
-    return PF.cumulative_returns(_portfolio(spark, folder))
+    """At single precision: the level grows without bound, so decimals are not a fair measure."""
+    curve = PF.cumulative_returns(_portfolio(spark, folder))
+    return curve.withColumn("cumulative_return", single("cumulative_return"))
 
 
 @query
 def portfolio_stats(spark, folder):
-    return PF.strategy_stats(_portfolio(spark, folder), PROFILE)
+    stats = PF.strategy_stats(_portfolio(spark, folder), PROFILE)
+    return stats.withColumn("total_return", single("total_return"))
 
 
 @query
@@ -679,7 +690,7 @@ def null_profile(spark, folder):
 
 @query
 def panel_metadata(spark, folder):
-    space = workspace(spark, folder, ["adj_close"])
+    space = workspace(spark, folder, ["adj_close"], correlations=True, reused=True)
     return Q.panel_metadata(space.labelled, space.dates)
 
 
@@ -688,7 +699,8 @@ def panel_metadata(spark, folder):
 
 def training(spark, folder):
     columns = [PROFILE.short_volatility, PROFILE.medium_volatility]
-    return staged(M.training_table(labelled(spark, folder, columns), PROFILE), "training")
+    rows = labelled(spark, folder, columns, correlations=True, reused=True)
+    return staged(M.training_table(rows, PROFILE), "training")
 
 
 def rule_predictions(table: DataFrame) -> DataFrame:

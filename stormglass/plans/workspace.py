@@ -1,8 +1,8 @@
 """Labelled panels: the tables every statistic starts from.
 
-Features are written once (only the columns asked for); the date spine is one small aggregate over
-them, and is written too because several readers join it. So a labelled panel costs one pass over the
-raw tables, one over the written features for the spine, and one for the statistic itself.
+Features are written once (only the columns asked for); the date table is one small aggregate over
+them, written too where several readers join it. So a labelled panel costs one pass over the raw
+tables, one over two or three written columns for the spine, and one for the statistic itself.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ def date_table(
     profile: Profile,
     mode: str = "panel",
     calendar: str = "union",
+    correlations: bool = True,
 ) -> DataFrame:
     """Spine with macro values, aliases, inflation, rolling correlations and labels."""
     spine = C.spine(features, profile)
@@ -50,7 +51,8 @@ def date_table(
     dates = spine.join(broadcast_days(macro), "date", "left")
     dates = C.with_yoy(dates, profile.price_index, profile.yoy_periods)
     dates = C.with_macro_aliases(dates, profile.macro_aliases)
-    dates = C.with_rolling_correlations(dates, profile, calendar)
+    if correlations:
+        dates = C.with_rolling_correlations(dates, profile, calendar)
     return L.with_labels(dates, profile)
 
 
@@ -61,12 +63,17 @@ def build(
     columns: list[str] | None = None,
     mode: str = "panel",
     calendar: str = "union",
+    correlations: bool = True,
+    reused: bool = True,
 ) -> Workspace:
-    """``columns``: the per-asset columns the caller needs besides key, return and drawdown."""
+    """``columns``: the per-asset columns the caller needs besides key, return and drawdown.
+
+    The date table is written if it is ``reused``, else it stays part of the one plan that joins it.
+    """
     features = asset_features(panel, profile)
     if columns is not None:
         needed = dict.fromkeys(["date", "asset", "daily_return", "drawdown", *columns])
         features = features.select(*[F.col(c) for c in needed])
     features = staged(features, "features")
-    dates = staged(date_table(features, wide, profile, mode, calendar), "dates")
-    return Workspace(profile, features, dates)
+    dates = date_table(features, wide, profile, mode, calendar, correlations)
+    return Workspace(profile, features, staged(dates, "dates") if reused else dates)
