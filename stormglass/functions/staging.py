@@ -51,16 +51,15 @@ def _width(schema: T.StructType) -> int:
     return sum(64 if isinstance(f.dataType, T.StringType) else 16 for f in schema.fields)
 
 
-def broadcast_days(df: DataFrame, per_day: int = 1) -> DataFrame:
-    """Broadcast hint for a table with at most ``per_day`` rows per date.
+def broadcast_list(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a table of at most ``rows`` rows, known when the plan is built.
 
-    The calendar bounds its rows and the schema its width. Beyond the byte limit there is no hint and
-    Spark chooses from its own statistics, which ends in a sort-merge join.
+    Beyond the byte limit there is no hint and Spark chooses from its own statistics, which ends in a
+    sort-merge join.
     """
-    bound = CALENDAR_DAYS * per_day * _width(df.schema)
-    return F.broadcast(df) if bound <= MAX_BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * _width(df.schema) <= MAX_BROADCAST_BYTES else df
 
 
-def broadcast_list(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a table built from a Python list of known length."""
-    return F.broadcast(df) if rows * _width(df.schema) <= MAX_BROADCAST_BYTES else df
+def broadcast_days(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a table with one row per date: the calendar bounds its rows."""
+    return broadcast_list(df, CALENDAR_DAYS)

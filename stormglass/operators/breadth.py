@@ -12,11 +12,22 @@ from stormglass.operators.labels import is_crisis
 
 
 def _per_asset(rows: DataFrame, ret: str, fall: str) -> DataFrame:
+    """Mean return, deepest fall and first known group per asset.
+
+    Rows are summed by (asset, group) first, so that text is only a grouping key and never part of a
+    hash aggregate's buffer on the large side.
+    """
+    sums = rows.groupBy("asset", "group").agg(
+        F.sum(ret).alias("_sum"),
+        F.count(ret).alias("_count"),
+        F.min(fall).alias("_fall"),
+        F.min("date").alias("_first"),
+    )
     grouped = F.col("group").isNotNull()
-    return rows.groupBy("asset").agg(
-        F.avg(ret).alias("mean_return"),
-        F.min(fall).alias("max_drawdown"),
-        F.min_by("group", F.when(grouped, F.col("date"))).alias("group"),
+    return sums.groupBy("asset").agg(
+        V.ratio(F.sum("_sum"), F.sum("_count")).alias("mean_return"),
+        F.min("_fall").alias("max_drawdown"),
+        F.min_by("group", F.when(grouped, F.col("_first"))).alias("group"),
     )
 
 

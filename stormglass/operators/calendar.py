@@ -41,7 +41,7 @@ def panel_dates(panel: DataFrame) -> DataFrame:
 def macro_on_dates(
     dates: DataFrame, wide: DataFrame, variables: tuple[str, ...], mode: str = "panel"
 ) -> DataFrame:
-    """Macro values carried forward over panel dates.
+    """Macro values carried forward over a table with one row per panel date; its columns stay.
 
     ``panel``: an observation on a date that is no panel date is lost. ``asof``: the latest
     observation up to each date counts, whatever its date.
@@ -49,8 +49,7 @@ def macro_on_dates(
     if mode == "panel":
         on_dates = dates.join(broadcast_days(wide), "date", "left")
     elif mode == "asof":
-        marked = dates.withColumn("_panel", F.lit(True))
-        on_dates = marked.join(wide, "date", "full")
+        on_dates = dates.withColumn("_panel", F.lit(True)).join(wide, "date", "full")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     w = calendar_window()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stormglass.config import Event, Profile
 from stormglass.functions import rolling as R
 from stormglass.functions import values as V
-from stormglass.functions.staging import broadcast_days
+from stormglass.functions.staging import broadcast_list
 from stormglass.operators.labels import is_crisis
 from stormglass.sources.dimensions import event_table
 
@@ -37,8 +37,9 @@ def in_events(
         return panel.join(days, "date")
     first = min(e.start_date for e in events) - timedelta(days=before)
     last = max(e.end_date for e in events) + timedelta(days=after)
+    length = sum((e.end_date - e.start_date).days + 1 + before + after for e in events)
     inside = panel.where(F.col("date").between(F.lit(first), F.lit(last)))
-    return inside.join(broadcast_days(days, per_day=len(events)), "date")
+    return inside.join(broadcast_list(days, length), "date")
 
 
 def stats_per_event(labelled: DataFrame, events: Iterable[Event]) -> DataFrame:

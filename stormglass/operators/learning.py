@@ -204,7 +204,7 @@ def cross_validated(folds: DataFrame, models: Sequence[str], parallel: int = 4)
     def one(job):
         name, fold = job
         mine = folds.where(F.col("fold") == fold)
-        train = mine.where("role = 'train'").select("label", "features").coalesce(1).persist()
+        train = mine.where("role = 'train'").select("label", "features").persist()
         fitted = MODELS[name](train.count()).fit(train)
         train.unpersist()
         return fitted.transform(mine.where("role = 'test'")).select(
@@ -317,7 +317,7 @@ def scores_long(board: DataFrame) -> DataFrame:
 
 def feature_importance(sample: DataFrame, names: Sequence[str], model: str) -> DataFrame:
     """Importance per feature from a fit on all rows: tree gain, or size of the coefficient."""
-    train = sample.select("label", "features").coalesce(1).persist()
+    train = sample.select("label", "features").persist()
     fitted = MODELS[model](train.count()).fit(train)
     train.unpersist()
     if hasattr(fitted, "featureImportances"):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.config import Profile
-from stormglass.functions.staging import broadcast_days, staged
+from stormglass.functions.staging import staged
 from stormglass.operators import calendar as C
 from stormglass.operators import labels as L
 from stormglass.operators.features import asset_features
@@ -47,8 +47,7 @@ def date_table(
 ) -> DataFrame:
     """Spine with macro values, aliases, inflation, rolling correlations and labels."""
     spine = C.spine(features, profile)
-    macro = C.macro_on_dates(spine.select("date"), wide, profile.macro_variables, mode)
-    dates = spine.join(broadcast_days(macro), "date", "left")
+    dates = C.macro_on_dates(spine, wide, profile.macro_variables, mode)
     dates = C.with_yoy(dates, profile.price_index, profile.yoy_periods)
     dates = C.with_macro_aliases(dates, profile.macro_aliases)
     if correlations:

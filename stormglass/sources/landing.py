@@ -26,16 +26,12 @@ def _row_order() -> Column:
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV files with exactly this header; a file with another header fails the job, it is not misread.
-
-    Files that cannot be read at all are skipped.
-    """
+    """CSV files with exactly this header; a file with another header fails the job, it is not misread."""
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", True)
         .option("pathGlobFilter", "*.csv")
         .csv(path)
         .select("*", _row_order().alias("_seq"))
@@ -43,6 +39,8 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def scan_prices(spark: SparkSession, path: str, by_name: bool = False) -> DataFrame:
+    """Landed price files. ``by_name`` reads any header and skips unreadable files, at the cost of one
+    more pass over the text to find the headers."""
     if by_name:
         return normalize_price_columns(scan_by_name(spark, path, S.RAW_PRICE.names))
     return _scan(spark, path, S.RAW_PRICE)
@@ -54,44 +52,31 @@ def scan_macro(spark: SparkSession, path: str, by_name: bool = False) -> DataFra
     return _scan(spark, path, S.RAW_MACRO)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _folder(spark: SparkSession):
     return (
         spark.read.option("pathGlobFilter", "*.csv")
         .option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
-        .text(path)
-        .select("value", _row_order().alias("_seq"), F.col("_metadata.file_size").alias("file_size"))
-        .where(F.trim("value") != "")
     )
 
 
-def _with_cells(lines: DataFrame, line: str, name: str) -> DataFrame:
-    """Add the cells of a text column as an array, parsed once per line."""
-    names = [f"_c{i}" for i in range(MAX_CSV_COLUMNS)]
-    parsed = F.from_csv(F.col(line), ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"})
-    wide = lines.select("*", F.inline(F.array(parsed)))
-    return wide.withColumn(name, F.array(*names)).drop(*names, line)
-
-
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: its trimmed header names, its first row's place and its size."""
-    first_lines = (
-        _lines(spark, path)
-        .where(F.col("_seq.block") == 0)
+    """One row per file: its trimmed header names and its size."""
+    lines = _folder(spark).text(path).select(
+        "value", _row_order().alias("_seq"), F.col("_metadata.file_size").alias("file_size")
+    )
+    first = (
+        lines.where((F.col("_seq.block") == 0) & (F.trim("value") != ""))
         .groupBy(F.col("_seq.file").alias("file"))
-        .agg(
-            F.min("_seq").alias("first_row"),
-            F.min_by("value", "_seq").alias("line"),
-            F.max("file_size").alias("file_size"),
-        )
+        .agg(F.min_by("value", "_seq").alias("line"), F.max("file_size").alias("file_size"))
     )
-    parsed = _with_cells(first_lines, "line", "cells")
+    names = [f"_c{i}" for i in range(MAX_CSV_COLUMNS)]
+    parsed = F.from_csv(F.col("line"), ", ".join(f"{n} string" for n in names))
+    wide = first.select("file", "file_size", F.inline(F.array(parsed)))
     too_wide = F.concat(F.lit(f"more than {MAX_CSV_COLUMNS - 1} columns in "), F.col("file"))
-    cells = F.when(F.try_element_at("cells", F.lit(-1)).isNull(), F.col("cells")).otherwise(
-        F.raise_error(too_wide)
-    )
-    header = F.transform(F.filter(cells, lambda c: c.isNotNull()), F.trim)
-    return parsed.select("file", "first_row", "file_size", header.alias("header"))
+    cells = F.when(F.col(names[-1]).isNull(), F.array(*names)).otherwise(F.raise_error(too_wide))
+    header = F.transform(F.filter(cells, lambda c: c.isNotNull()), lambda c: F.trim(c))
+    return wide.select("file", "file_size", header.alias("header"))
 
 
 def rows_by_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -100,11 +85,16 @@ def rows_by_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     The headers are a written table, so Spark knows its size and broadcasts it or not by itself.
     """
     headers = staged(file_headers(spark, path), "headers")
-    lines = _lines(spark, path)
-    rows = lines.join(headers.drop("file_size"), F.col("_seq.file") == F.col("file")).where(
-        F.col("_seq") != F.col("first_row")
+    names = [f"_c{i}" for i in range(MAX_CSV_COLUMNS)]
+    rows = (
+        _folder(spark)
+        .schema(", ".join(f"{n} string" for n in names))
+        .option("header", True)
+        .csv(path)
+        .select(F.array(*names).alias("cells"), _row_order().alias("_seq"))
     )
-    return _with_cells(rows.select("file", "_seq", "header", "value"), "value", "cells"), headers
+    matched = rows.join(headers.drop("file_size"), F.col("_seq.file") == F.col("file"))
+    return matched.select("file", "_seq", "header", "cells"), headers
 
 
 def cell(name: str) -> Column:

@@ -18,7 +18,7 @@ def session():
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.log.level", "ERROR")
+        .config("spark.log.level", "FATAL")
         .getOrCreate()
     )
 
