@@ -21,3 +21,19 @@ def test_pipeline_writes_every_report(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/asset_prices")).count() == 4922
     panel = spark.read.parquet(str(tmp_path / "out/analysis_panel.parquet"))
     assert "final_crisis_label" in panel.columns and panel.count() == 4922
+
+
+def test_period_report(spark):
+    from stormglass.plans.period_report import period_report
+
+    rows = catalog.labelled(spark, SMALL, ["adj_close", "group"])
+    tables = period_report(
+        rows, "1996-01-01", "2000-12-31", 30, ["ECONOMY", "LARGE"], WAREHOUSE, {"ECONOMY": 1, "STANDARD": 1}
+    )
+    assert {n: df.count() for n, df in tables.items() if n in ("safe_haven_ranking", "risk", "portfolio_stats")} == {
+        "safe_haven_ranking": 2, "risk": 2, "portfolio_stats": 2,
+    }
+    assert tables["overview"].first()["assets"] == 2
+    assert tables["market_breadth"].first()["pct_outperform_std"] == 0.0
+    empty = period_report(rows, "1996-01-01", "2000-12-31", 30, [], WAREHOUSE)
+    assert empty["return_ranking"].count() == 0 and empty["overview"].first()["rows"] == 0

@@ -56,6 +56,20 @@ def test_period_filter_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(date,1996-01-01)" in text and "LessThanOrEqual(date,1996-12-31)" in text
 
 
+def test_bucketed_panel_needs_no_shuffle(spark, tmp_path):
+    from stormglass.operators import period as P
+    from stormglass.sources.sinks import write_bucketed
+
+    bars = write_bucketed(WH.panel(spark, SMALL), "bucketed_bars", str(tmp_path / "b"), 4)
+    try:
+        # Spark may otherwise prefer plain splits when few buckets would be read.
+        text = plan(P.period_panel(bars, "1996-01-01", "1996-12-31", 30))
+        assert "Exchange" not in text and "Bucketed: true" in text
+        assert bars.count() == 4922
+    finally:
+        spark.sql("DROP TABLE bucketed_bars")
+
+
 @pytest.mark.parametrize("name", ["safe_haven_score", "market_breadth", "stats_per_event", "quadrants"])
 def test_no_cross_join(spark, name):
     text = plan(catalog.QUERIES[name](spark, SMALL))
