@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from stormglass.config import Profile
 from stormglass.functions import values as V
 from stormglass.functions.staging import broadcast_days, broadcast_list, staged
+from stormglass.operators.calendar import with_macro_aliases
 
 MIN_ROWS = 50
 MAX_FOLDS = 5
@@ -45,6 +46,9 @@ def training_table(labelled: DataFrame, profile: Profile) -> DataFrame:
 
     The lag runs over all candidate days before days without a target are dropped.
     """
+    labelled = with_macro_aliases(
+        labelled, tuple(pair for pair in profile.macro_aliases if pair[1] not in labelled.columns)
+    )
     benchmark = f"{profile.benchmark.label}_daily_return"
     other = (
         labelled.where(F.col("asset") == profile.benchmark.asset)

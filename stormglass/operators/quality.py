@@ -136,11 +136,14 @@ def panel_metadata(labelled: DataFrame, dates: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def pipeline_metadata(panel_facts: DataFrame, profile_facts: DataFrame, files: dict[str, int]) -> DataFrame:
-    """Panel facts, storage profile and file counts as one metric/value table."""
+def pipeline_metadata(
+    panel_facts: DataFrame, profile_facts: DataFrame, files: dict[str, int], outputs: int
+) -> DataFrame:
+    """Panel facts, storage profile, input file and output table counts as one metric/value table."""
     spark = panel_facts.sparkSession
     counts = [(name, str(n)) for name, n in files.items()]
     counts.append(("total_raw_files", str(sum(files.values()))))
+    counts.append(("spark_output_files", str(outputs)))
     listed = spark.createDataFrame(counts, "metric string, value string")
     return listed.unionByName(panel_facts).unionByName(profile_facts)
 

@@ -144,7 +144,7 @@ def run(
     kinds = {r["type"]: r["count"] for r in quality.groupBy("type").count().collect()}
     files = {f"{kind}_raw_files": kinds.get(kind, 0) for kind in ("price", "macro")}
     facts = Q.panel_metadata(labelled, dates)
-    save("transformation_meta", Q.pipeline_metadata(facts, storage, files))
+    save("transformation_meta", Q.pipeline_metadata(facts, storage, files, len(written)))
     if models:
         for name, df in learn(labelled, profile, models).items():
             save(name, df)

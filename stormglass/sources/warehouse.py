@@ -109,38 +109,48 @@ def with_gaps(bars: DataFrame) -> DataFrame:
 
 
 def macro_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two daily series with gaps and two at month starts: (date, variable, value)."""
+    """Two daily series with gaps and two at month starts: (date, variable, value).
+
+    One scan: orders are reduced to days, and days to series, month starts being one more of them.
+    """
     orders = table(spark, sf_dir, "orders").select(
         V.day(F.col("o_orderdate")).alias("date"), "o_totalprice", "o_orderpriority"
     )
-    orders = orders.where(F.col("date").isNotNull())
-    daily = (
-        orders.where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
-        .groupBy("date", "o_orderpriority")
-        .agg(F.max("o_totalprice").alias("top"))
-        .select(
-            "date",
-            F.when(F.col("o_orderpriority") == "1-URGENT", "STRESS").otherwise("YIELD").alias("variable"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", F.col("top") / 10000)
-            .otherwise(F.col("top") / 100000)
-            .alias("value"),
+
+    def top(priority):
+        return F.max(F.when(F.col("o_orderpriority") == priority, F.col("o_totalprice")))
+
+    per_day = (
+        orders.where(F.col("date").isNotNull())
+        .groupBy("date")
+        .agg(
+            (top("1-URGENT") / 10000).alias("stress"),
+            (top("5-LOW") / 100000).alias("low_yield"),
+            F.count(F.lit(1)).alias("orders"),
         )
     )
-    months = orders.groupBy(F.trunc("date", "month").alias("date")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    monthly = months.select(
-        "date",
+    series = per_day.select(
         F.inline(
             F.array(
-                F.struct(
-                    F.lit("RECESSION").alias("variable"),
-                    F.when(F.month("date") % 4 == 1, 1.0).otherwise(0.0).alias("value"),
-                ),
-                F.struct(
-                    F.lit("PRICE_INDEX").alias("variable"), (100 + F.col("n") / 10.0).alias("value")
-                ),
+                _point(F.col("date"), "STRESS", F.col("stress")),
+                _point(F.col("date"), "YIELD", F.col("low_yield")),
+                _point(F.trunc("date", "month"), "ORDERS", F.col("orders").cast("double")),
             )
-        ),
+        )
+    )
+    # Daily series have one value per day, so the sum only adds up the orders of a month.
+    points = series.groupBy("date", "variable").agg(F.sum("value").alias("value"))
+    date, value = F.col("date"), F.col("value")
+    monthly = F.array(
+        _point(date, "RECESSION", F.when(F.month("date") % 4 == 1, 1.0).otherwise(0.0)),
+        _point(date, "PRICE_INDEX", 100 + value / 10.0),
+    )
+    kept = F.array(F.struct("date", "variable", "value"))
+    return (
+        points.where(value.isNotNull())
+        .select(F.inline(F.when(F.col("variable") == "ORDERS", monthly).otherwise(kept)))
     )
-    return daily.unionByName(monthly)
+
+
+def _point(date, variable, value):
+    return F.struct(date.alias("date"), F.lit(variable).alias("variable"), value.alias("value"))
