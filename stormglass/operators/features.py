@@ -2,41 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Collection
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormglass.config import Profile
 from stormglass.functions import rolling as R
 
 
-def asset_features(panel: DataFrame, profile: Profile) -> DataFrame:
-    """Returns, volatility, drawdown and averages of a panel with one row per (asset, date).
-
-    The effective price is the adjusted close, else the close. Returns carry the last price over gaps;
-    averages and drawdown use the price as it is.
-    """
-    w = R.by_asset()
-    price = F.col("_price")
+def _definitions(profile: Profile) -> tuple[dict[str, Callable], dict[str, Callable]]:
+    """Features on the price, and features on those; each is built from the asset's window."""
+    price, filled, ret = F.col("_price"), F.col("_filled"), F.col("daily_return")
     short, medium = profile.short_window, profile.medium_window
-    base = panel.withColumn("_price", F.coalesce("adj_close", "close"))
-    filled = base.withColumn("_filled", R.forward_fill(price, w))
     levels = {
-        "daily_return": R.change(F.col("_filled"), w),
-        f"rolling_mean_{short}d": R.rolling(F.avg, price, w, short),
-        "drawdown": R.drawdown(price, w),
-        "rolling_high": R.rolling(F.max, price, w, medium),
+        "daily_return": lambda w: R.change(filled, w),
+        f"rolling_mean_{short}d": lambda w: R.rolling(F.avg, price, w, short),
+        "drawdown": lambda w: R.drawdown(price, w),
+        "rolling_high": lambda w: R.rolling(F.max, price, w, medium),
+        **{f"ma_{n}": lambda w, n=n: R.rolling(F.avg, price, w, n) for n in profile.moving_averages},
+        **{f"return_{n}d": lambda w, n=n: R.change(filled, w, n) for n in profile.return_periods},
     }
-    for n in profile.moving_averages:
-        levels[f"ma_{n}"] = R.rolling(F.avg, price, w, n)
-    for n in profile.return_periods:
-        levels[f"return_{n}d"] = R.change(F.col("_filled"), w, n)
-    ret = F.col("daily_return")
     derived = {
-        "log_return": F.log1p(F.when(ret != -1, ret)),
-        "daily_change": F.col("close") - F.col("open"),
-        "cumulative_return": R.compounded(ret, w) - 1,
-        profile.short_volatility: R.rolling(F.stddev_samp, ret, w, short),
-        profile.medium_volatility: R.rolling(F.stddev_samp, ret, w, medium),
-        "max_drawdown": F.min("drawdown").over(Window.partitionBy("asset")),
+        "log_return": lambda w: F.log1p(F.when(ret != -1, ret)),
+        "daily_change": lambda w: F.col("close") - F.col("open"),
+        "cumulative_return": lambda w: R.compounded(ret, w) - 1,
+        profile.short_volatility: lambda w: R.rolling(F.stddev_samp, ret, w, short),
+        profile.medium_volatility: lambda w: R.rolling(F.stddev_samp, ret, w, medium),
+        "max_drawdown": lambda w: F.min("drawdown").over(Window.partitionBy("asset")),
     }
-    return filled.withColumns(levels).withColumns(derived).drop("_price", "_filled")
+    return levels, derived
+
+
+def feature_columns(profile: Profile) -> list[str]:
+    levels, derived = _definitions(profile)
+    return [*levels, *derived]
+
+
+def asset_features(
+    panel: DataFrame, profile: Profile, only: Collection[str] | None = None
+) -> DataFrame:
+    """Returns, volatility, drawdown and averages of a panel with one row per (asset, date).
+
+    The effective price is the adjusted close, else the close. Returns carry the last price over gaps;
+    averages and drawdown use the price as it is. ``only`` leaves out features nobody reads; returns
+    and drawdown are always there.
+    """
+    w = R.by_asset()
+    levels, derived = _definitions(profile)
+
+    def built(definitions: dict[str, Callable]) -> dict[str, Column]:
+        return {
+            name: make(w)
+            for name, make in definitions.items()
+            if only is None or name in only or name in ("daily_return", "drawdown")
+        }
+
+    priced = panel.withColumn("_price", F.coalesce("adj_close", "close"))
+    filled = priced.withColumn("_filled", R.forward_fill(F.col("_price"), w))
+    return (
+        filled.withColumns(built(levels)).withColumns(built(derived)).drop("_price", "_filled")
+    )

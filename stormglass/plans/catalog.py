@@ -25,7 +25,7 @@ from stormglass.operators import portfolio as PF
 from stormglass.operators import quality as Q
 from stormglass.operators import score as SC
 from stormglass.operators import stats as ST
-from stormglass.operators.features import asset_features
+from stormglass.operators.features import asset_features, feature_columns
 from stormglass.plans import workspace as W
 from stormglass.plans.storage import storage_profile
 from stormglass.sources import dimensions as D
@@ -277,7 +277,7 @@ def csv_roundtrip(spark, folder):
 
 @query
 def analysis_panel(spark, folder):
-    bars = asset_features(WH.panel(spark, folder), PROFILE).columns
+    bars = [*WH.panel(spark, folder).columns, *feature_columns(PROFILE)]
     wanted = [c for c in K.analysis_columns(PROFILE) if c in bars]
     return K.analysis_panel(labelled(spark, folder, wanted, correlations=True), PROFILE)
 
@@ -303,12 +303,12 @@ def asset_features_brand(spark, folder):
 
 @query
 def cumulative_returns(spark, folder):
-    features = asset_features(WH.panel(spark, folder), PROFILE)
+    features = asset_features(WH.panel(spark, folder), PROFILE, ["cumulative_return"])
     return features.select("date", "asset", F.col("cumulative_return").alias("cum"))
 
 
 def _spine(spark, folder):
-    features = asset_features(WH.panel(spark, folder), PROFILE)
+    features = asset_features(WH.panel(spark, folder), PROFILE, ())
     return C.spine(features, PROFILE)
 
 
@@ -391,7 +391,7 @@ def stats_per_asset(spark, folder):
 
 @query
 def stats_per_brand(spark, folder):
-    features = asset_features(WH.brand_panel(spark, folder), PROFILE)
+    features = asset_features(WH.brand_panel(spark, folder), PROFILE, [PROFILE.short_volatility])
     return ST.stats_per_asset(features, PROFILE)
 
 
@@ -418,7 +418,8 @@ def risk_detail(spark, folder):
 
 @query
 def risk_summary(spark, folder):
-    return ST.risk_summary(asset_features(WH.panel(spark, folder), PROFILE), PROFILE)
+    features = asset_features(WH.panel(spark, folder), PROFILE, [PROFILE.short_volatility])
+    return ST.risk_summary(features, PROFILE)
 
 
 @query
@@ -452,7 +453,7 @@ def safe_haven_score(spark, folder):
 def _brand_labelled(spark, folder):
     """Brand panel under the dates' labels of the six-asset panel."""
     space = workspace(spark, folder)
-    features = asset_features(WH.brand_panel(spark, folder), PROFILE).select(
+    features = asset_features(WH.brand_panel(spark, folder), PROFILE, ()).select(
         "date", "asset", "group", "daily_return", "drawdown"
     )
     return L.onto_panel(features, space.dates, [L.LABEL])

@@ -7,6 +7,7 @@ written in between; every later step reads the columns it needs from them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,8 +120,12 @@ def run(
     profile: Profile = MARKET,
     models=tuple(M.MODELS),
     by_name: bool = False,
+    side_by_side: int = 4,
 ) -> dict[str, str]:
-    """Run every step and write all tables under ``out``; returns name -> path of the CSV reports."""
+    """Run every step and write all tables under ``out``; returns name -> path of the CSV reports.
+
+    Reports do not depend on each other, so up to ``side_by_side`` of them are submitted together.
+    """
     written: dict[str, str] = {}
 
     def save(name: str, df: DataFrame) -> None:
@@ -137,8 +142,9 @@ def run(
     K.write_partitioned(dated, f"{out}/asset_prices")
     labelled, dates = label(spark, master, wide, out, profile)
     K.write_parquet(K.analysis_panel(labelled, profile), f"{out}/analysis_panel.parquet")
-    for name, make in reports(labelled, dates, profile).items():
-        save(name, make())
+    makers = reports(labelled, dates, profile)
+    with ThreadPoolExecutor(side_by_side) as pool:
+        list(pool.map(lambda name: save(name, makers[name]()), makers))
     storage = staged(storage_profile(master), "storage")
     save("storage_benchmark", storage)
     kinds = {r["type"]: r["count"] for r in quality.groupBy("type").count().collect()}

@@ -69,7 +69,7 @@ def build(
 
     The date table is written if it is ``reused``, else it stays part of the one plan that joins it.
     """
-    features = asset_features(panel, profile)
+    features = asset_features(panel, profile, columns)
     if columns is not None:
         needed = dict.fromkeys(["date", "asset", "daily_return", "drawdown", *columns])
         features = features.select(*[F.col(c) for c in needed])
