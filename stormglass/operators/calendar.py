@@ -7,7 +7,7 @@ are windows over the whole calendar allowed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormglass.config import Profile, Series
@@ -77,46 +77,66 @@ def with_yoy(dates: DataFrame, level: str, periods: int, name: str = "inflation_
     return dates.withColumn(name, R.change(F.col(level), w, periods))
 
 
-def _pair_window(a: Series, b: Series, calendar: str):
-    """Frames count rows of the union calendar (dates with any return) or of the pair's own dates.
+def pair_correlations(
+    dates: DataFrame,
+    candidate: Series,
+    windows: dict[Series, dict[int, str]],
+    calendar: str = "union",
+) -> DataFrame:
+    """Rolling correlation of the candidate with other series: date and one named column per frame.
 
-    Partitioning by the flag keeps the other dates out of the frames without dropping them.
+    Frames count rows of the union calendar (dates with any return) or, with ``pair``, of the dates
+    both series have. The pairs are laid out below each other and cut into pieces, so that they are
+    computed side by side.
     """
-    if calendar == "union":
-        counted = F.col("any_return")
-    elif calendar == "pair":
-        counted = F.col(f"{a.label}_return").isNotNull() & F.col(f"{b.label}_return").isNotNull()
-    else:
+    if calendar not in ("union", "pair"):
         raise ValueError(f"unknown calendar {calendar!r}")
-    return Window.partitionBy(counted).orderBy("date")
-
-
-def pair_correlation(a: Series, b: Series, window: int, calendar: str = "union") -> Column:
-    x, y = F.col(f"{a.label}_return"), F.col(f"{b.label}_return")
-    return R.rolling_correlation(x, y, _pair_window(a, b, calendar), window)
+    x = F.col(f"{candidate.label}_return")
+    pairs = []
+    for other in windows:
+        y = F.col(f"{other.label}_return")
+        both = x.isNotNull() & y.isNotNull()
+        pairs.append(
+            F.struct(
+                F.lit(other.label).alias("pair"),
+                F.when(both, x).alias("x"),
+                F.when(both, y).alias("y"),
+                (F.lit(True) if calendar == "union" else both).alias("counted"),
+            )
+        )
+    long = dates.where("any_return").select("date", F.inline(F.array(*pairs)))
+    lengths = sorted({n for names in windows.values() for n in names})
+    pieces = R.in_pieces(long, ["pair", "counted"], lengths[-1])
+    w = Window.partitionBy("pair", "counted", "_piece").orderBy("date")
+    values = [
+        R.rolling_correlation(F.col("x"), F.col("y"), w, n).alias(f"_{n}") for n in lengths
+    ]
+    done = pieces.select("date", "pair", "_home", "_piece", *values).where("_home = _piece")
+    return done.groupBy("date").agg(
+        *[
+            F.max(F.when(F.col("pair") == other.label, F.col(f"_{n}"))).alias(name)
+            for other, names in windows.items()
+            for n, name in names.items()
+        ]
+    )
 
 
 def with_rolling_correlations(dates: DataFrame, profile: Profile, calendar: str = "union") -> DataFrame:
     """Candidate against benchmark and peers, one column per window in use."""
-    c = profile.candidate
-    columns = {
-        profile.rolling_corr(profile.benchmark, n): pair_correlation(c, profile.benchmark, n, calendar)
-        for n in profile.benchmark_corr_windows
-    }
-    for peer in profile.peers:
-        n = profile.peer_corr_window
-        columns[profile.rolling_corr(peer, n)] = pair_correlation(c, peer, n, calendar)
-    return dates.withColumns(columns)
+    benchmark, n = profile.benchmark, profile.peer_corr_window
+    windows = {benchmark: {k: profile.rolling_corr(benchmark, k) for k in profile.benchmark_corr_windows}}
+    windows.update({peer: {n: profile.rolling_corr(peer, n)} for peer in profile.peers})
+    found = pair_correlations(dates, profile.candidate, windows, calendar)
+    return dates.join(broadcast_days(found), "date", "left")
 
 
 def multi_window_correlations(dates: DataFrame, profile: Profile, calendar: str = "union") -> DataFrame:
     """Every pair at every window, on the dates that have any return."""
-    columns = [
-        pair_correlation(profile.candidate, other, n, calendar).alias(profile.multi_corr(other, n))
-        for n in profile.multi_corr_windows
+    windows = {
+        other: {n: profile.multi_corr(other, n) for n in profile.multi_corr_windows}
         for other in (profile.benchmark, *profile.peers)
-    ]
-    return dates.select("date", "any_return", *columns).where("any_return").drop("any_return")
+    }
+    return pair_correlations(dates, profile.candidate, windows, calendar)
 
 
 def correlation_view(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormglass import schemas as S
 from stormglass.functions import values as V
 from stormglass.operators.labels import is_crisis
-from stormglass.sources.landing import cell, rows_by_header
+from stormglass.sources.landing import place, rows_by_header
 
 PASS_MB = 200.0
 
@@ -29,19 +29,21 @@ def file_report(
     has are counted; with it only those, and only where the file has all of them.
     """
     name = F.col("file") if source is None else source
-    rows, headers = rows_by_header(spark, path)
+    rows, headers = rows_by_header(spark, path, required)
+
+    def present(column):
+        return F.col(f"_at.{place(required, column)}") > 0
+
     if counted is None:
-        empties = [
-            F.array_contains("header", c) & cell(c).isNull() for c in required
-        ]
+        empties = [present(c) & F.col(f"`{c}`").isNull() for c in required]
     else:
-        whole = F.array_except(F.array(*map(F.lit, counted)), F.col("header"))
-        empties = [(F.size(whole) == 0) & cell(c).isNull() for c in counted]
+        whole = F.least(*[present(c).cast("int") for c in counted]) == 1
+        empties = [whole & F.col(f"`{c}`").isNull() for c in counted]
     empty = sum((e.cast("long") for e in empties[1:]), empties[0].cast("long"))
     keyed = rows.select(
         name.alias("file"),
-        F.struct(*[cell(k).alias(k) for k in duplicate_keys]).alias("_key"),
-        V.day(cell("Date")).alias("_day"),
+        F.struct(*duplicate_keys).alias("_key"),
+        V.day(F.col("Date")).alias("_day"),
         empty.alias("_empty"),
     )
     # Rows per key first: the sums afterwards never meet a hot file in one task.

@@ -284,7 +284,9 @@ def analysis_panel(spark, folder):
 
 @query
 def storage_profile_panel(spark, folder):
-    return storage_profile(staged(WH.panel(spark, folder), "panel"))
+    return storage_profile(
+        staged(WH.panel(spark, folder), "panel"), fresh_path(spark, "profile-partitions")
+    )
 
 
 # Features
@@ -309,7 +311,7 @@ def cumulative_returns(spark, folder):
 
 def _spine(spark, folder):
     features = asset_features(WH.panel(spark, folder), PROFILE, ())
-    return C.spine(features, PROFILE)
+    return staged(C.spine(features, PROFILE), "spine")
 
 
 @query

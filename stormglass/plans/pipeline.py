@@ -138,15 +138,14 @@ def run(
     save("data_quality_summary", quality)
     save("data_quality_totals", Q.quality_totals(quality))
     master, wide = integrate(spark, prices, macro, out, profile, by_name)
-    dated = master.withColumn("year", F.year("date"))
-    K.write_partitioned(dated, f"{out}/asset_prices")
+    master_path = f"{out}/master_asset_panel.parquet"
+    storage = staged(storage_profile(master, f"{out}/asset_prices", master_path), "storage")
+    save("storage_benchmark", storage)
     labelled, dates = label(spark, master, wide, out, profile)
     K.write_parquet(K.analysis_panel(labelled, profile), f"{out}/analysis_panel.parquet")
     makers = reports(labelled, dates, profile)
     with ThreadPoolExecutor(side_by_side) as pool:
         list(pool.map(lambda name: save(name, makers[name]()), makers))
-    storage = staged(storage_profile(master), "storage")
-    save("storage_benchmark", storage)
     kinds = {r["type"]: r["count"] for r in quality.groupBy("type").count().collect()}
     files = {f"{kind}_raw_files": kinds.get(kind, 0) for kind in ("price", "macro")}
     facts = Q.panel_metadata(labelled, dates)

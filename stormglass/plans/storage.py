@@ -24,16 +24,18 @@ def _timed(action) -> float:
     return round(time.perf_counter() - begin, 4)
 
 
-def storage_profile(df: DataFrame) -> DataFrame:
+def storage_profile(df: DataFrame, partitioned: str, parquet: str | None = None) -> DataFrame:
     """Metric/value rows: read seconds, sizes, partitioned write seconds, status.
 
-    Reads go through all columns with the no-op sink, so neither format can skip any.
+    Writes the table to ``partitioned`` by group, asset and year. ``parquet`` names files it already
+    has. Reads go through all columns with the no-op sink, so neither format can skip any.
     """
     spark = df.sparkSession
-    csv, parquet = fresh_path(spark, "profile-csv"), fresh_path(spark, "profile-parquet")
-    parts = fresh_path(spark, "profile-parts")
+    csv = fresh_path(spark, "profile-csv")
     write_csv(df, csv)
-    write_parquet(df, parquet)
+    if parquet is None:
+        parquet = fresh_path(spark, "profile-parquet")
+        write_parquet(df, parquet)
 
     def drain(scan: DataFrame):
         scan.write.format("noop").mode("overwrite").save()
@@ -42,7 +44,7 @@ def storage_profile(df: DataFrame) -> DataFrame:
     stored = spark.read.schema(df.schema).parquet(parquet)
     parquet_seconds = _timed(lambda: drain(stored))
     dated = stored.withColumn("year", F.year("date"))
-    write_seconds = _timed(lambda: write_partitioned(dated, parts))
+    write_seconds = _timed(lambda: write_partitioned(dated, partitioned))
     csv_mb, parquet_mb = folder_mb(spark, csv), folder_mb(spark, parquet)
     rows = [
         ("read_csv_sec", f"{csv_seconds:.4f}"),

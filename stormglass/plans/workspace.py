@@ -46,12 +46,12 @@ def date_table(
     correlations: bool = True,
 ) -> DataFrame:
     """Spine with macro values, aliases, inflation, rolling correlations and labels."""
-    spine = C.spine(features, profile)
-    dates = C.macro_on_dates(spine, wide, profile.macro_variables, mode)
+    dates = C.spine(features, profile)
+    if correlations:
+        dates = C.with_rolling_correlations(staged(dates, "spine"), profile, calendar)
+    dates = C.macro_on_dates(dates, wide, profile.macro_variables, mode)
     dates = C.with_yoy(dates, profile.price_index, profile.yoy_periods)
     dates = C.with_macro_aliases(dates, profile.macro_aliases)
-    if correlations:
-        dates = C.with_rolling_correlations(dates, profile, calendar)
     return L.with_labels(dates, profile)
 
 

@@ -6,6 +6,8 @@ any cluster: file path, then split start, then place within the split.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from stormglass import schemas as S
 from stormglass.functions import values as V
 from stormglass.functions.staging import staged
 
-MAX_CSV_COLUMNS = 64
+MAX_CSV_COLUMNS = 32
 
 
 def _row_order() -> Column:
@@ -79,34 +81,43 @@ def file_headers(spark: SparkSession, path: str) -> DataFrame:
     return wide.select("file", "file_size", header.alias("header"))
 
 
-def rows_by_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Data rows as cell arrays next to their file's header, and the headers themselves.
+def rows_by_header(
+    spark: SparkSession, path: str, names: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Data rows with the named columns, wherever each file has them, and the headers themselves.
 
-    The headers are a written table, so Spark knows its size and broadcasts it or not by itself.
+    ``_at`` holds per name the column's place in the file, 0 for none. Places are found once per file;
+    the headers are a written table, so Spark knows its size and broadcasts it or not by itself.
     """
     headers = staged(file_headers(spark, path), "headers")
-    names = [f"_c{i}" for i in range(MAX_CSV_COLUMNS)]
+    places = F.struct(
+        *[
+            F.coalesce(F.array_position("header", n), F.lit(0)).cast("int").alias(place(names, n))
+            for n in names
+        ]
+    )
+    cells = [f"_c{i}" for i in range(MAX_CSV_COLUMNS)]
     rows = (
         _folder(spark)
-        .schema(", ".join(f"{n} string" for n in names))
+        .schema(", ".join(f"{n} string" for n in cells))
         .option("header", True)
         .csv(path)
-        .select(F.array(*names).alias("cells"), _row_order().alias("_seq"))
+        .select(F.array(*cells).alias("_cells"), _row_order().alias("_seq"))
     )
-    matched = rows.join(headers.drop("file_size"), F.col("_seq.file") == F.col("file"))
-    return matched.select("file", "_seq", "header", "cells"), headers
+    placed = headers.select("file", places.alias("_at"))
+    matched = rows.join(placed, F.col("_seq.file") == F.col("file"))
+    found = [F.get("_cells", F.col(f"_at.{place(names, n)}") - 1).alias(n) for n in names]
+    return matched.select("file", "_seq", "_at", *found), headers
 
 
-def cell(name: str) -> Column:
-    """Cell under a header name; null where the file has no such column."""
-    place = F.array_position("header", name)
-    return F.when(place > 0, F.try_element_at("cells", place.cast("int")))
+def place(names: Sequence[str], name: str) -> str:
+    return f"p{list(names).index(name)}"
 
 
-def scan_by_name(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+def scan_by_name(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """CSV files whose headers differ in order or completeness; a missing column reads as null."""
-    rows, _ = rows_by_header(spark, path)
-    return rows.select(*[cell(n).alias(n) for n in names], "_seq")
+    rows, _ = rows_by_header(spark, path, names)
+    return rows.drop("file", "_at")
 
 
 def normalize_price_columns(df: DataFrame) -> DataFrame:
