@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stormglass.llm import rules
+from stormglass.llm import lines, rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +21,17 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    index = lines.LineIndex(spark, min_docs=10)
+    index.insert(documents)
+    kept = F.coalesce(F.col("_1"), F.lit("")).cast("binary")
+    return index.strip(documents).select(
+        F.col("_0").alias("doc_id"), "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op3_quality_rules": op3_quality_rules,
 }

@@ -1,3 +1,24 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+#: A-Z lower-cased only; white space is \x20 and \x09-\x0D throughout.
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5 = rf"""
+WITH lines AS (
+    SELECT doc_id, i, line, {LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key
+    FROM (
+        SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+    )
+), hot AS (
+    SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(hot.key) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN hot USING (key)
+GROUP BY doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op5_line_dedup": OP5,
+}
