@@ -37,6 +37,8 @@ def table(members: bytes) -> np.ndarray:
 
 
 NOT_SPACE = ~table(SPACES)
+#: Bytes of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing.
+WORD = table(b"0123456789abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 128)
 
 
 def map_arrow(

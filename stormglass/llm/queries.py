@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import jaccard, lines, rules
+from stormglass.llm import decontaminate, jaccard, lines, rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,7 +35,12 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op3_quality_rules": op3_quality_rules,
