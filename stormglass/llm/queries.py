@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import decontaminate, jaccard, lines, rules
+from stormglass.llm import bpe, decontaminate, jaccard, lines, rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(_table(spark, folder, "documents"), ranks).select("doc_id", "ids")
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     learned = rules.learn(documents, _table(spark, folder, "labels"))
@@ -40,6 +53,7 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
