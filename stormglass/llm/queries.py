@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import bpe, decontaminate, jaccard, lines, rules
+from stormglass.llm import bpe, decontaminate, jaccard, lines, rules, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,7 +52,16 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+#: Fixed rules of the query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
 QUERIES = {
+    "op8_url_filters": op8_url_filters,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,

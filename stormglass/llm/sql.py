@@ -19,6 +19,72 @@ FROM lines LEFT JOIN hot USING (key)
 GROUP BY doc_id
 """
 
+#: What follows the first ://, its host and path, and the form that all spellings of a url share.
+_REST = r"CASE WHEN contains({0}, '://') THEN regexp_replace({0}, '^.*?://', '', 's') END"
+_HOST = "coalesce(" + LOWER.format(r"regexp_extract({0}, '^[^/?#]*', 0)") + ", '')"
+_PATH = r"coalesce(regexp_extract({0}, '^[^/?#]*([^?#]*)', 1), '')"
+_KEPT = (
+    r"list_filter(string_split(regexp_extract({0}, '^[^?#]*\?([^#]*)', 1), '&'), "
+    r"lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))"
+)
+_CANONICAL = (
+    r"regexp_replace(" + _HOST + r", '^(www|m)\.', '') || regexp_replace(" + _PATH + r", '(/index\.html?|\.html?|/)$', '')"
+    r" || CASE WHEN len(" + _KEPT + r") > 0 THEN '?' || array_to_string(" + _KEPT + r", '&') ELSE '' END"
+)
+
+
+def _tag(tag: str, value: str) -> str:
+    return f"regexp_extract(regexp_extract(html, '{tag}', 0, 'is'), '{value}', 1, 'is')"
+
+
+_CANON_TAG = _tag(r"<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>", r"\bhref\s*=\s*[\"'']?([^\"''\s>]+)")
+_REFRESH_TAG = _tag(r"<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>", r"\burl\s*=\s*[\"'']?([^\"''\s>;]+)")
+
+OP8 = f"""
+WITH RECURSIVE parts AS (
+    SELECT page_id, url, rest, {_HOST.format('rest')} AS host, {_PATH.format('rest')} AS path,
+        CASE WHEN rest IS NOT NULL THEN {_CANONICAL.format('rest')} END AS canon, html
+    FROM (SELECT page_id, url, html, {_REST.format('url')} AS rest FROM pages)
+), targets AS (
+    SELECT canon, host, split_part(url, '://', 1) AS scheme, unnest([{_CANON_TAG}, {_REFRESH_TAG}]) AS target
+    FROM parts WHERE canon IS NOT NULL AND html IS NOT NULL
+), absolute AS (
+    SELECT canon, CASE WHEN contains(target, '://') THEN target
+        WHEN starts_with(target, '//') THEN scheme || ':' || target
+        WHEN starts_with(target, '/') THEN scheme || '://' || host || target END AS target
+    FROM targets
+), target_parts AS (
+    SELECT canon AS source, rest, {_HOST.format('rest')} AS host, {_PATH.format('rest')} AS path, {_CANONICAL.format('rest')} AS canon
+    FROM (SELECT canon, {_REST.format('target')} AS rest FROM absolute WHERE target IS NOT NULL)
+), edges AS (
+    SELECT source AS a, canon AS b FROM target_parts UNION SELECT canon, source FROM target_parts
+), reach(node, other) AS (
+    SELECT canon, canon FROM parts WHERE canon IS NOT NULL UNION SELECT canon, canon FROM target_parts
+    UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a
+), groups AS (
+    SELECT node, min(other) AS grp FROM reach GROUP BY node
+), rules(verdict, rule, rule_host, rule_path) AS (
+    VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+        ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+), spots AS (
+    SELECT DISTINCT host, path, canon FROM (SELECT host, path, canon FROM parts UNION ALL SELECT host, path, canon FROM target_parts)
+), explicit AS (
+    SELECT host, path, canon, arg_max(verdict, length(rule)) AS verdict, arg_max(rule, length(rule)) AS rule
+    FROM spots JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY host, path, canon
+), caught AS (
+    SELECT grp FROM explicit JOIN groups ON canon = node
+    GROUP BY grp HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')
+)
+SELECT page_id, parts.host, parts.path, explicit.rule,
+    coalesce(explicit.verdict, CASE WHEN caught.grp IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts
+LEFT JOIN explicit ON parts.host = explicit.host AND parts.path = explicit.path AND parts.canon IS NOT DISTINCT FROM explicit.canon
+LEFT JOIN groups ON parts.canon = groups.node
+LEFT JOIN caught ON groups.grp = caught.grp
+"""
+
 SQL: dict[str, str] = {
+    "op8_url_filters": OP8,
     "op5_line_dedup": OP5,
 }
