@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import bpe, decontaminate, jaccard, licenses, lines, rules, urls
+from stormglass.llm import bpe, decontaminate, ftrl, jaccard, licenses, lines, rules, shards, unigram, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = unigram.load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram.count_tokens(_table(spark, folder, "documents"), vocabulary)
+
+
 #: Fixed rules of the query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -77,12 +82,44 @@ def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    fold = F.crc32(F.col("id").cast("string").cast("binary")) % 3
+    weights = ftrl.fit(documents, _table(spark, folder, "labels"), allowed=fold != 1)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return ftrl.score(documents, weights).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shards.shard(_table(spark, folder, "documents"), 8)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int"),
+        F.col("slot").cast("long"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
-    "op1_license_scans": op1_license_scans,
-    "op8_url_filters": op8_url_filters,
-    "op2_byte_bpe": op2_byte_bpe,
-    "op6_benchmark_decontamination": op6_benchmark_decontamination,
-    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-    "op5_line_dedup": op5_line_dedup,
-    "op3_quality_rules": op3_quality_rules,
+    f.__name__: f
+    for f in (
+        op1_license_scans,
+        op2_byte_bpe,
+        op3_quality_rules,
+        op4_ngram_jaccard_join,
+        op5_line_dedup,
+        op6_benchmark_decontamination,
+        op7_token_counts,
+        op8_url_filters,
+        op9_quality_classifier,
+        op10_sharding,
+    )
 }
