@@ -227,8 +227,8 @@ class LineIndex:
         self._change(documents, text, -1)
 
     def _change(self, documents: DataFrame, text: str, sign: int) -> None:
-        keys = line_keys(documents, text, text).drop("id")
-        change = keys.groupBy("k1", "k2").agg((F.count("*") * sign).alias("n"))
+        bare = A.pick(documents, text).toDF("text").select(F.lit(None).cast("int").alias("id"), "text")
+        change = line_keys(bare, "id", "text").groupBy("k1", "k2").agg((F.count("*") * sign).alias("n"))
         if self.refs is None:
             merged = change.select("k1", "k2", F.lit(0).cast("long").alias("old"), F.col("n").alias("refs"))
         else:
