@@ -69,15 +69,17 @@ class CuckooFilter:
             room = max(0, int(self.tables[-1].size * MAX_LOAD) - int(np.count_nonzero(self.tables[-1])))
             if room and self._place(self.tables[-1], spot[:room], mark[:room]):
                 spot, mark = spot[room:], mark[room:]
-        size = 0
+        take = len(spot)
         while len(spot):
             have = len(self.tables[-1]) if self.tables else 0
-            least = 1 << max(4, int(np.ceil(np.log2(len(spot) / (SLOTS * MAX_LOAD)))))
-            size = max(2 * size, 2 * have, least)
-            fresh = np.zeros((size, SLOTS), dtype=np.uint16)
-            if self._place(fresh, spot, mark):
+            least = 1 << max(4, int(np.ceil(np.log2(take / (SLOTS * MAX_LOAD)))))
+            fresh = np.zeros((max(2 * have, least) if take == len(spot) else least, SLOTS), dtype=np.uint16)
+            if self._place(fresh, spot[:take], mark[:take]):
                 self.tables.append(fresh)
-                spot = spot[:0]
+                spot, mark = spot[take:], mark[take:]
+                take = len(spot)
+            else:  # more than eight equal marks in two buckets: they need tables of their own
+                take = (take + 1) // 2
 
     def _place(self, table: np.ndarray, spot: np.ndarray, mark: np.ndarray) -> bool:
         """Puts all marks into the table, in rounds: what finds its bucket full goes to its other bucket,
