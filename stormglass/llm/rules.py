@@ -258,7 +258,7 @@ def learn(
     """Decision list from at most ``max_examples`` labelled documents, those of smallest key hash.
 
     The bound is on the examples of the fit alone; a null key has no label. Ties go by key, so every
-    run learns the same list.
+    run learns the same list. Examples that the base rules reject teach nothing and are left out.
     """
     known = A.pick(labels, key, label).toDF("id", "label").where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
@@ -266,6 +266,7 @@ def learn(
     texts = A.pick(documents, key, text).toDF("id", "text")
     examples = texts.join(F.broadcast(chosen), "id")
     measured = text_statistics(examples.select("id", "label", "text"), "text").drop("_2")
+    measured = measured.where(~base_failed())
     rows = measured.select(F.col("_0").alias("id"), F.col("_1").alias("label"), *COUNTS).orderBy("id", *COUNTS).toPandas()
     if rows.empty or rows["label"].nunique() < 2:
         return DecisionList()
