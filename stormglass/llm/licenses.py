@@ -4,8 +4,9 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a te
 space between them. A notice that may have k edits is split into k + 1 parts, one of which must stand
 in the text as it is (pigeonhole). An Aho-Corasick automaton finds all parts of all notices in one walk;
 around each hit the notice is compared, first as it is, then by the regex library's bounded-error
-matching, which gives the edits and the span. A match begins and ends at word boundaries. Of overlapping
-inexact matches those with fewest edits stay; exact ones always stay.
+matching, which gives the edits and the span. A match begins and ends at word boundaries. Exact
+matches always stay. Of overlapping inexact ones those with fewest edits stay, then the longest, unless
+an exact match of that length is there.
 
 A null or empty text has no words and no matches. Rows are independent; columns of other names are left
 out. Places are words from 0 and bytes of the original text.
@@ -161,14 +162,15 @@ def find(words: Words, notices: Sequence[Notice]) -> list[tuple[int, int, int, i
                 edits = sum(m.fuzzy_counts)
                 begin = lo + len(part[: m.start()].encode())
                 if edits and (lo == words.begins[text] or m.start()):
-                    inexact.append((edits, text, n, begin, begin + len(m.group().encode())))
-    taken: dict[int, list[tuple[int, int]]] = {}
+                    inexact.append((edits, -length, text, n, begin, begin + len(m.group().encode())))
+    exact_spans: dict[int, list[tuple[int, int]]] = {}
     for text, _, begin, end, _ in out:
-        taken.setdefault(text, []).append((begin, end))
-    for edits, text, n, begin, end in sorted(inexact):
-        spans = taken.setdefault(text, [])
-        if all(end <= a or begin >= b for a, b in spans):
-            spans.append((begin, end))
+        exact_spans.setdefault(text, []).append((begin, end))
+    near_spans: dict[int, list[tuple[int, int]]] = {}
+    for edits, _, text, n, begin, end in sorted(inexact):
+        whole = [(a, b) for a, b in exact_spans.get(text, []) if b - a >= end - begin - edits]
+        if all(end <= a or begin >= b for a, b in whole + near_spans.get(text, [])):
+            near_spans.setdefault(text, []).append((begin, end))
             out.append((text, n, begin, end, edits))
     return sorted(out, key=lambda m: (m[0], m[2], m[3], m[1]))
 
