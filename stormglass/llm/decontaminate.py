@@ -8,7 +8,7 @@ lengths are aggregated by Spark over all items.
 
 Retrieval gives all items of ``MIN_SCORE`` or more. A vectorised bound first leaves out passages in which
 no item can reach it: items' frequent words count in full, the others as found. For the rest block-max
-WAND walks the posting lists. A retrieved item is reported if the three-word sequences of the item, of
+WAND walks the posting lists. A retrieved item is reported if the two-word sequences of the item, of
 its question and of its answer are each found in the passage to ``MIN_OVERLAP`` or more. The answer is
 the text after the last ``?`` or else the last sentence; without either, question and answer are one.
 
@@ -35,7 +35,7 @@ from stormglass.llm import arrow as A
 K1, B = 1.2, 0.75
 MIN_SCORE = 0.5
 MIN_OVERLAP = 0.5
-GRAM = 3
+GRAM = 2
 SHORTEST_CLASS = 64
 BLOCK_POSTINGS = 32
 MAX_INDEX_BYTES = 16 << 20
