@@ -16,6 +16,7 @@ other names are left out.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -31,7 +32,8 @@ LETTER, NUMBER, OTHER, SHORT, LONG, WHITE, SPACE, LAST_WHITE, END = range(9)
 _FRESH, _LETTERS, _NUMBERS, _OTHERS, _WHITES, _JOINED, _ONE_MORE, _TWO_MORE = range(8)
 _ALONE = [_LETTERS, _NUMBERS, _OTHERS, _ONE_MORE, _TWO_MORE, _WHITES, _JOINED, _FRESH, _FRESH]
 _BLOCK = 64
-MAX_CACHED = 500_000
+MAX_CACHED = 300_000
+PIECE_BYTES = 1 << 20
 MAX_CACHED_BYTES = 64
 _HEAP_FROM = 200
 
@@ -160,8 +162,7 @@ class Vocabulary:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pool: list[int] = []
-        self.pool_firsts: list[int] = [0]
+        self.pool, self.pool_firsts = array("i"), array("q", [0])
         self.arrays = (np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     def merge(self, piece: bytes) -> list[int]:
@@ -265,7 +266,7 @@ def _lists(firsts: np.ndarray, values: np.ndarray) -> pa.Array:
 def _encoder(shared, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared.value)
-        for piece in A.pieces(batches, place):
+        for piece in A.pieces(batches, place, PIECE_BYTES):
             data, begins = A.spaced(piece.column(place))
             starts, ends = slices(data, begins)
             ids, counts = vocabulary.encode(data, starts, ends)
@@ -288,7 +289,7 @@ def _decoder(shared, place: int):
             while at < batch.num_rows:
                 lists = batch.column(place)
                 ends = A.offsets_of(lists)
-                to = min(max(int(np.searchsorted(ends, ends[at] + A.PIECE_BYTES // 4, side="right")) - 1, at + 1), batch.num_rows)
+                to = min(max(int(np.searchsorted(ends, ends[at] + PIECE_BYTES // 4, side="right")) - 1, at + 1), batch.num_rows)
                 part = batch.slice(at, to - at)
                 own = part.column(place)
                 offsets = A.offsets_of(own)
