@@ -537,16 +537,22 @@ SQL["display_names"] = sql(
 
 # Portfolio
 
+def _digits(value: str) -> str:
+    return (
+        f"CASE WHEN {value} = 0 THEN 0.0::DOUBLE ELSE round({value} / pow(10.0::DOUBLE, floor(log10(abs({value})))), 8) END"
+    )
+
+
 SQL["portfolio_daily"] = sql("daily", f"SELECT {cols('date', '~portfolio', '~benchmark')} FROM daily")
 SQL["portfolio_cumulative"] = sql(
-    "levels", f"SELECT {cols('date', 'strategy', '~cumulative_return = (level - 1)::FLOAT::DOUBLE')} FROM levels"
+    "levels", f"SELECT date, strategy, {_digits('(level - 1)')} AS cumulative_return FROM levels"
 )
 SQL["portfolio_drawdown"] = sql(
     "falls", f"SELECT {cols('date', 'strategy', '~drawdown = drawdown * 100')} FROM falls"
 )
 SQL["portfolio_stats"] = sql(
     "falls",
-    f"""SELECT strategy, {cols('~total_return = total_return::FLOAT::DOUBLE', '~annual_return', '~annual_volatility',
+    f"""SELECT strategy, {_digits('total_return')} AS total_return, {cols('~annual_return', '~annual_volatility',
                '~sharpe_ratio = CASE WHEN annual_volatility > 0 THEN annual_return / annual_volatility ELSE 0.0 END',
                '~max_drawdown')}
         FROM (SELECT *, pow(1 + total_return, 252.0::DOUBLE / n) - 1 AS annual_return
@@ -566,7 +572,7 @@ SQL["portfolio_comparison"] = sql(
 # Quality
 
 _report = """
-  SELECT {source} AS file, '{kind}' AS type, true AS ok, count(*) AS rows, '' AS missing_required_cols,
+  SELECT {source} AS file, '{kind}' AS type, true AS ok, '' AS error, 0 AS unreadable_dates, count(*) AS rows, '' AS missing_required_cols,
          count(*) - count(DISTINCT date) AS duplicate_rows, CAST(sum({empty}) AS BIGINT) AS na_cell_count,
          strftime(min(date), '%Y-%m-%d 00:00:00') || ' -> ' || strftime(max(date), '%Y-%m-%d 00:00:00')
            AS date_range
@@ -582,11 +588,41 @@ SQL["quality_totals"] = sql(
     "gaps macro_long",
     """SELECT count(*) AS files, CAST(sum(rows) AS BIGINT) AS rows,
               CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows,
-              CAST(sum(na_cell_count) AS BIGINT) AS na_cell_count FROM reports""",
+              CAST(sum(na_cell_count) AS BIGINT) AS na_cell_count,
+              CAST(sum(unreadable_dates) AS BIGINT) AS unreadable_dates FROM reports""",
     landed=LANDED,
     landed_macro=LANDED_MACRO,
     reports=f"{_prices} UNION ALL {_values}",
 )
+_shapes = """
+  SELECT asset AS file, 'price' AS type, count(*) AS n, count(*) FILTER (WHERE day(date) IN (13, 14)) AS gaps,
+         strftime(min(date), '%Y-%m-%d 00:00:00') || ' -> ' || strftime(max(date), '%Y-%m-%d 00:00:00') AS span
+  FROM panel GROUP BY asset UNION ALL SELECT 'VOID', 'price', 0, 0, ''"""
+_mixed = """
+  SELECT file, type, file NOT IN ('MEDIUM', 'STANDARD', 'VOID') AS ok,
+         CASE file WHEN 'VOID' THEN 'empty file' WHEN 'STANDARD' THEN 'a row has 9 cells, the header 8' ELSE '' END AS error,
+         CASE WHEN file = 'STANDARD' THEN 0 ELSE n END AS rows,
+         CASE WHEN file = 'MEDIUM' THEN 'Volume' ELSE '' END AS missing_required_cols, 0 AS duplicate_rows,
+         CASE WHEN file = 'PROMO' THEN gaps ELSE 0 END AS na_cell_count, 0 AS unreadable_dates,
+         CASE WHEN file IN ('STANDARD', 'VOID') THEN '' ELSE span END AS date_range FROM shapes"""
+SQL["quality_report_mixed"] = sql("panel", _mixed.strip(), shapes=_shapes)
+SQL["quality_gate_mixed"] = sql(
+    "panel",
+    """SELECT * FROM (SELECT count(*) AS files, CAST(sum(rows) FILTER (WHERE ok) AS BIGINT) AS rows,
+              CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows,
+              CAST(sum(na_cell_count) FILTER (WHERE ok) AS BIGINT) AS na_cell_count,
+              CAST(sum(unreadable_dates) AS BIGINT) AS unreadable_dates, true AS size_mb FROM mixed),
+            (VALUES ('PASS', 0.0::DOUBLE), ('FAIL', 1e9::DOUBLE)) AS gates(gate, limit_mb)""",
+    shapes=_shapes,
+    mixed=_mixed,
+)
+SQL["price_scan_mixed"] = sql(
+    "panel",
+    """SELECT asset, count(*) AS rows,
+              count(*) FILTER (WHERE NOT (asset = 'PROMO' AND day(date) IN (13, 14))) AS open, count(*) AS close,
+              count(*) AS adj_close, count(*) FILTER (WHERE asset <> 'MEDIUM') AS volume
+       FROM panel WHERE asset <> 'STANDARD' GROUP BY asset""",
+)
 _all = [c.lstrip("~") for c in (*_bar, *_feature)] + ["group"]
 SQL["null_profile"] = sql(
     "gap_features",
@@ -611,6 +647,31 @@ SQL["panel_metadata"] = sql(
         UNION ALL SELECT 'normal_days', CAST(count(*) AS VARCHAR) FROM dates WHERE final_crisis_label = 0""",
 )
 
+_measured = ("read_csv_sec", "read_parquet_sec", "master_csv_size_mb", "master_parquet_size_mb", "compression_ratio")
+_storage = (*_measured, "spark_status", "spark_partition_write_sec")
+SQL["storage_facts"] = sql(
+    "panel",
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) > 0 AS sound FROM panel" for m in (*_storage, "partition_rows")),
+)
+SQL["one_partition"] = sql(
+    "panel",
+    f"SELECT date, asset, {rnd('close')} AS close, 1998 AS year FROM panel WHERE asset = 'SMALL' AND year(date) = 1998",
+)
+SQL["pipeline_metadata"] = sql(
+    "labelled panel macro_long",
+    f"""SELECT 'total_assets_tracked' AS metric, CAST(count(DISTINCT asset) AS VARCHAR) AS value FROM labelled
+        UNION ALL SELECT 'labeled_dataset_rows', CAST(count(*) AS VARCHAR) FROM labelled
+        UNION ALL SELECT 'missing_cells_in_labeled', CAST({_empty} AS VARCHAR) FROM labelled
+        UNION ALL SELECT 'crisis_days', CAST(count(*) AS VARCHAR) FROM dates WHERE final_crisis_label = 1
+        UNION ALL SELECT 'normal_days', CAST(count(*) AS VARCHAR) FROM dates WHERE final_crisis_label = 0
+        UNION ALL SELECT 'price_raw_files', CAST(count(DISTINCT asset) AS VARCHAR) FROM panel
+        UNION ALL SELECT 'macro_raw_files', CAST(count(DISTINCT variable) AS VARCHAR) FROM macro_long
+        UNION ALL SELECT 'total_raw_files', CAST((SELECT count(DISTINCT asset) FROM panel)
+                                                + (SELECT count(DISTINCT variable) FROM macro_long) AS VARCHAR)
+        UNION ALL SELECT 'spark_output_files', '3' UNION ALL SELECT 'spark_status', 'OK' """
+    + " ".join(f"UNION ALL SELECT '{m}', 'true'" for m in (*_measured, "spark_partition_write_sec")),
+)
+
 # Learning
 
 _lags = tuple(f"~{c}" for c in LAGS)
@@ -667,3 +728,33 @@ SQL["confusion_accuracy"] = sql(
     f"SELECT model, count(*) FILTER (WHERE label = prediction) AS correct, count(*) AS total, "
     f"{rnd('count(*) FILTER (WHERE label = prediction)::DOUBLE / count(*)')} AS accuracy {_last} GROUP BY model",
 )
+_models = "(VALUES ('LogisticRegression'), ('RandomForest'), ('GradientBoosting')) AS models(model)"
+SQL["ml_fold_facts"] = sql(
+    "folds",
+    f"""SELECT model, fold, count(*) FILTER (WHERE role = 'train') AS train_size,
+               count(*) FILTER (WHERE role = 'test') AS test_size,
+               CAST(sum(label) FILTER (WHERE role = 'test') AS BIGINT) AS positives,
+               true AS prediction_is_score, true AS in_range
+        FROM folds, {_models} GROUP BY model, fold""",
+)
+_names = ", ".join(f"('{c}')" for c in LAGS)
+SQL["ml_logistic_gradient"] = sql(
+    "folds",
+    f"""SELECT DISTINCT fold, feature, 0.0::DOUBLE AS gradient
+        FROM folds, (VALUES {_names}, ('constant')) AS names(feature)""",
+)
+SQL["importance_facts"] = sql(
+    "training",
+    f"""SELECT model, feature, true AS not_negative, true AS whole
+        FROM {_models}, (VALUES {_names}) AS names(feature) WHERE (SELECT count(*) FROM training) > 0""",
+)
+SQL["best_confusion"] = sql(
+    "predictions board",
+    " UNION ALL ".join(
+        f"SELECT model, 'true_{t}' AS truth, count(*) FILTER (WHERE label = {t} AND prediction = 0) AS pred_0, "
+        f"count(*) FILTER (WHERE label = {t} AND prediction = 1) AS pred_1 {_last} "
+        f"AND model = (SELECT model FROM board ORDER BY f1 DESC NULLS LAST, "
+        f"list_position(['momentum','reversal','hedge'], model) LIMIT 1) GROUP BY model"
+        for t in (0, 1)
+    ),
+)

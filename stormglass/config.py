@@ -60,6 +60,7 @@ class Profile:
     classes: tuple[tuple[str, tuple[str, ...]], ...] = ()
     default_class: str = "stock_etf"
     optional_assets: tuple[str, ...] = ()
+    hidden_aliases: tuple[str, ...] = ()
     default_assets: tuple[str, ...] = ()
     weights: Weights = Weights()
     short_window: int = 21
@@ -72,6 +73,12 @@ class Profile:
     yoy_periods: int = 252
     annual_days: int = 252
 
+    @property
+    def panel_aliases(self) -> tuple[str, ...]:
+        """Alias columns that the analysis panel shows."""
+        left_out = {self.price_index, *self.hidden_aliases}
+        return tuple(name for variable, name in self.macro_aliases if variable not in left_out)
+
     @property
     def roles(self) -> tuple[Series, ...]:
         return (self.candidate, self.benchmark, *self.peers)
@@ -137,6 +144,7 @@ MARKET = Profile(
         ("T10YIE", "breakeven_inflation"),
         ("DTWEXBGS", "dollar_index"),
     ),
+    hidden_aliases=("EFFR",),
     stress_variable="VIXCLS",
     stress_label="vix",
     stress_threshold=30.0,

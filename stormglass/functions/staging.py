@@ -7,7 +7,7 @@ later scans still prune columns and push filters down.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,28 +18,57 @@ from stormglass.functions.values import CALENDAR_DAYS
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
+_written: dict[str, list[str]] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def default_folder(spark: SparkSession, warehouse: str, master: str) -> str:
+    """Folder below the warehouse, resolved by Hadoop; a driver's own disk serves only a local master."""
+    target, system = _file_system(spark, f"{warehouse.rstrip('/')}/_stormglass")
+    folder = system.makeQualified(target).toString()
+    one_process = re.fullmatch(r"local(\[[^\]]*\])?", master)
+    if folder.startswith("file:") and not one_process:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors can reach."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="stormglass-"))
-    return context.getCheckpointDir().rstrip("/")
+    """Folder that all executors can reach: the cluster's checkpoint folder, else one below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = default_folder(spark, spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
+    return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """New path in the shared folder; it is removed when the application ends."""
+    """New path in the shared folder; it is removed by ``release`` or when the application ends."""
     path = f"{shared_folder(spark)}/stormglass/{name}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, system = _file_system(spark, path)
+    system.deleteOnExit(target)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def written_paths(spark: SparkSession) -> list[str]:
+    """Paths handed out and not released yet, oldest first."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables whose last reader is done."""
+    held = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target, system = _file_system(spark, path)
+        system.delete(target, True)
+        system.cancelDeleteOnExit(target)
+        if path in held:
+            held.remove(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)

@@ -19,6 +19,24 @@ def day(value: Column) -> Column:
     return F.when(inside, parsed)
 
 
+def moment(value: Column) -> Column:
+    """Timestamp of a date or text, within the same calendar."""
+    parsed = value.try_cast("timestamp")
+    return F.when(day(value).isNotNull(), parsed)
+
+
+# Words that count as a missing cell.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def missing(cell: Column) -> Column:
+    """Whether a cell of text is empty or says that it is."""
+    return cell.isNull() | cell.isin(*MISSING_WORDS)
+
+
 def number(value: Column) -> Column:
     """Double of a number or text; unreadable text and NaN give null."""
     parsed = value.try_cast("double")

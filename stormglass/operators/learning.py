@@ -24,18 +24,28 @@ from stormglass.operators.calendar import with_macro_aliases
 MIN_ROWS = 50
 MAX_FOLDS = 5
 SEED = 42  # fixed value
+MAX_DEPTH = 30  # the most levels that Spark's trees can have; the inventory's trees have no limit
+MAX_BINS = 256  # split candidates per feature; the inventory's trees try every value
 
 
 def raw_features(profile: Profile, present: Sequence[str]) -> list[str]:
     """Feature columns before the lag, those that the panel has."""
-    aliases = [
-        "recession_flag", "inflation_yoy", "fed_rate", "treasury_10y",
-        "real_yield", "breakeven_inflation", "dollar_index",
-    ]
-    stress = dict(profile.macro_aliases)[profile.stress_variable]
+    # The names and order of the inventory's features.
     wanted = [
-        "daily_return", f"{profile.benchmark.label}_daily_return", profile.short_volatility,
-        profile.medium_volatility, "drawdown", profile.score_corr, stress, *aliases,
+        "daily_return",
+        f"{profile.benchmark.label}_daily_return",
+        profile.short_volatility,
+        profile.medium_volatility,
+        "drawdown",
+        profile.score_corr,
+        dict(profile.macro_aliases)[profile.stress_variable],
+        "recession_flag",
+        "inflation_yoy",
+        "fed_rate",
+        "treasury_10y",
+        "real_yield",
+        "breakeven_inflation",
+        "dollar_index",
     ]
     known = {*present, f"{profile.benchmark.label}_daily_return"}
     return [c for c in wanted if c in known]
@@ -174,19 +184,20 @@ def whole_sample(table: DataFrame) -> DataFrame:
 def logistic(rows: int) -> LogisticRegression:
     """Penalty 1/n equals an inverse regularisation of 1 on summed loss."""
     return LogisticRegression(
-        maxIter=3000, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False
+        maxIter=3000, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False, tol=1e-12
     )
 
 
-def forest(rows: int) -> RandomForestClassifier:
+def forest(rows: int, depth: int = MAX_DEPTH, bins: int = MAX_BINS) -> RandomForestClassifier:
+    """Trees as deep as Spark allows; split points are taken from ``bins`` quantiles per feature."""
     return RandomForestClassifier(
-        numTrees=200, maxDepth=30, featureSubsetStrategy="sqrt", seed=SEED
+        numTrees=200, maxDepth=depth, maxBins=bins, featureSubsetStrategy="sqrt", seed=SEED
     )
 
 
-def boosting(rows: int) -> GBTClassifier:
+def boosting(rows: int, bins: int = MAX_BINS) -> GBTClassifier:
     return GBTClassifier(
-        maxIter=200, maxDepth=4, stepSize=0.05, subsamplingRate=0.9,
+        maxIter=200, maxDepth=4, maxBins=bins, stepSize=0.05, subsamplingRate=0.9,
         featureSubsetStrategy="0.9", seed=SEED,
     )
 
@@ -217,7 +228,7 @@ def cross_validated(folds: DataFrame, models: Sequence[str], parallel: int = 4)
             "date",
             "label",
             F.col("prediction").cast("int").alias("prediction"),
-            vector_to_array("probability")[1].alias("score"),
+            F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)).alias("score"),
         )
 
     jobs = [(name, fold) for name in models for fold in numbers]
@@ -226,6 +237,24 @@ def cross_validated(folds: DataFrame, models: Sequence[str], parallel: int = 4)
     return reduce(DataFrame.unionByName, parts)
 
 
+def logistic_gradient(folds: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(fold, feature, gradient) of the summed penalised loss at each fold's fit; ``constant`` has no penalty."""
+    parts = []
+    for fold in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+        train = folds.where((F.col("fold") == fold) & (F.col("role") == "train")).select("label", "features")
+        fitted = logistic(train.count()).fit(train)
+        x = vector_to_array("features")
+        error = vector_to_array("probability")[1] - F.col("label")
+        slopes = [
+            (F.sum(error * x[i]) + F.lit(float(w))).alias(name)
+            for i, (name, w) in enumerate(zip(names, fitted.coefficients))
+        ]
+        slopes.append(F.sum(error).alias("constant"))
+        row = fitted.transform(train).agg(*slopes)
+        parts.append(row.unpivot([], row.columns, "feature", "gradient").select(F.lit(fold).alias("fold"), "feature", "gradient"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fold_metrics(predictions: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per (model, fold): accuracy, precision, recall, F1, ROC AUC and the sizes.
 

@@ -10,7 +10,6 @@ from stormglass.functions import rolling as R
 from stormglass.functions import values as V
 from stormglass.functions.ranking import exact_median
 from stormglass.functions.staging import staged
-from stormglass.operators.labels import is_crisis
 from stormglass.operators.stats import asset_regime_mean, return_ranking
 
 
@@ -181,8 +180,3 @@ def classified(df: DataFrame, profile: Profile) -> DataFrame:
     return df.withColumn(
         "class", V.class_of(F.col("asset"), profile.classes, profile.default_class)
     )
-
-
-def crisis_rows(df: DataFrame, ret: str | None = None) -> DataFrame:
-    """Rows on crisis days, on request only those with a return."""
-    return df.where(is_crisis() if ret is None else is_crisis() & F.col(ret).isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormglass import schemas as S
 from stormglass.functions import values as V
 from stormglass.operators.labels import is_crisis
-from stormglass.sources.landing import place, rows_by_header
+from stormglass.sources.landing import Landed, read_landed
 
 PASS_MB = 200.0
 
@@ -25,60 +25,72 @@ def file_report(
     """One row per source file: row count, missing columns, repeated keys, empty cells, dates, size.
 
     ``source`` maps the column ``file`` to a coarser name, such as the directory, if one source is
-    spread over several files. Without ``counted`` the empty cells of all required columns that a file
-    has are counted; with it only those, and only where the file has all of them.
+    spread over several files; a column that one of them lacks is missing then. Without ``counted`` the
+    empty cells of all required columns that a file has are counted; with it only those, and only where
+    the file has all of them. A file that cannot be read is a row with ``ok`` false and the ``error``.
+    ``unreadable_dates`` counts rows whose date is missing, no date or out of the calendar: cleaning
+    drops them.
     """
+    landed: Landed = read_landed(spark, path)
     name = F.col("file") if source is None else source
-    rows, headers = rows_by_header(spark, path, required)
+    rows = landed.rows(required)
 
     def present(column):
-        return F.col(f"_at.{place(required, column)}") > 0
+        return F.get("_at", F.lit(required.index(column))) > 0
 
     if counted is None:
-        empties = [present(c) & F.col(f"`{c}`").isNull() for c in required]
+        empties = [present(c) & V.missing(F.col(f"`{c}`")) for c in required]
     else:
         whole = F.least(*[present(c).cast("int") for c in counted]) == 1
-        empties = [whole & F.col(f"`{c}`").isNull() for c in counted]
+        empties = [whole & V.missing(F.col(f"`{c}`")) for c in counted]
     empty = sum((e.cast("long") for e in empties[1:]), empties[0].cast("long"))
     keyed = rows.select(
         name.alias("file"),
         F.struct(*duplicate_keys).alias("_key"),
-        V.day(F.col("Date")).alias("_day"),
+        V.moment(F.col("Date")).alias("_time"),
         empty.alias("_empty"),
     )
     # Rows per key first: the sums afterwards never meet a hot file in one task.
     per_key = keyed.groupBy("file", "_key").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum("_empty").alias("_empty"),
-        F.min("_day").alias("_first"),
-        F.max("_day").alias("_last"),
+        F.count_if(F.col("_time").isNull()).alias("_lost"),
+        F.min("_time").alias("_first"),
+        F.max("_time").alias("_last"),
     )
     facts = per_key.groupBy("file").agg(
         F.sum("_rows").alias("_rows"),
         (F.sum("_rows") - F.count(F.lit(1))).alias("_duplicates"),
         F.sum("_empty").alias("_empty"),
+        F.sum("_lost").alias("_lost"),
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
     )
-    sources = headers.groupBy(name.alias("file")).agg(
-        F.array_sort(
-            F.array_except(F.array(*map(F.lit, required)), F.min("header"))
-        ).alias("_missing"),
-        F.array_contains(F.min("header"), "Date").alias("_dated"),
+    readable = F.col("error").isNull()
+    absent = [
+        F.when(F.count_if(readable & ~F.array_contains("header", c)) > 0, F.lit(c)) for c in sorted(required)
+    ]
+    sources = landed.files.groupBy(name.alias("file")).agg(
+        F.array_compact(F.array(*absent)).alias("_missing"),
+        F.min(readable & F.array_contains("header", "Date")).alias("_dated"),
+        F.max("error").alias("error"),
         F.sum("file_size").alias("_bytes"),
     )
     span = F.concat_ws(
         " -> ",
         *[F.coalesce(F.date_format(d, "yyyy-MM-dd HH:mm:ss"), F.lit("NaT")) for d in ("_first", "_last")],
     )
+    zero = F.lit(0)
     return sources.join(facts, "file", "left").select(
         "file",
         F.lit(kind).alias("type"),
-        (F.size("_missing") == 0).alias("ok"),
-        F.coalesce("_rows", F.lit(0)).alias("rows"),
+        (F.col("error").isNull() & (F.size("_missing") == 0)).alias("ok"),
+        F.coalesce("error", F.lit("")).alias("error"),
+        F.coalesce("_rows", zero).alias("rows"),
         F.array_join("_missing", ",").alias("missing_required_cols"),
-        F.when(F.col("_dated"), F.coalesce("_duplicates", F.lit(0))).otherwise(0).alias("duplicate_rows"),
-        F.coalesce("_empty", F.lit(0)).alias("na_cell_count"),
+        F.when(F.col("_dated"), F.coalesce("_duplicates", zero)).otherwise(0).alias("duplicate_rows"),
+        F.coalesce("_empty", zero).alias("na_cell_count"),
+        F.when(F.col("_dated"), F.coalesce("_lost", zero)).otherwise(0).alias("unreadable_dates"),
         F.when(F.col("_dated"), span).otherwise("").alias("date_range"),
         F.bround(F.col("_bytes") / (1024 * 1024), 4).alias("size_mb"),
     )
@@ -101,7 +113,7 @@ def quality_totals(report: DataFrame, pass_mb: float = PASS_MB) -> DataFrame:
         F.count(F.lit(1)).alias("files"),
         *[
             F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).alias(c)
-            for c in ("rows", "duplicate_rows", "na_cell_count", "size_mb")
+            for c in ("rows", "duplicate_rows", "na_cell_count", "unreadable_dates", "size_mb")
         ],
     )
     return totals.withColumn(

@@ -56,8 +56,10 @@ def tidy(df: DataFrame) -> DataFrame:
     )
 
 
-def single(name: str) -> F.Column:
-    return F.col(name).cast("float").cast("double")
+def digits(name: str) -> F.Column:
+    """Text with eleven decimals of the number and its power of ten."""
+    power = F.floor(F.log10(F.abs(F.col(name))))
+    return F.when(F.col(name) == 0, F.lit(0.0)).otherwise(F.round(F.col(name) / F.pow(F.lit(10.0), power), 8))
 
 
 def query(function: Query) -> Query:
@@ -129,6 +131,44 @@ def landed_macro(spark, folder) -> str:
     return path
 
 
+def landed_mixed(spark, folder) -> str:
+    """Landed files as they come: ECONOMY sound, SMALL with its columns in another order, MEDIUM without
+    Volume, LARGE with forty columns, PROMO with words for missing prices, STANDARD with a row too wide,
+    VOID empty."""
+    bars = WH.panel(spark, folder).select(
+        F.date_format("date", "yyyy-MM-dd").alias("Date"),
+        F.col("open").alias("Open"),
+        F.col("high").alias("High"),
+        F.col("low").alias("Low"),
+        F.col("close").alias("Close"),
+        F.coalesce("adj_close", "close").alias("Adj Close"),
+        F.col("volume").alias("Volume"),
+        "asset",
+    )
+    base = bars.columns
+    gap = F.when(F.substring("Date", 9, 2) == "13", "NaN").when(F.substring("Date", 9, 2) == "14", "N/A")
+    shapes = {
+        "ECONOMY": lambda df: df,
+        "SMALL": lambda df: df.select(*reversed(base)),
+        "MEDIUM": lambda df: df.drop("Volume"),
+        "LARGE": lambda df: df.select(*base, *[F.lit(i).alias(f"extra{i}") for i in range(40 - len(base))]),
+        "PROMO": lambda df: df.withColumn("Open", F.coalesce(gap, F.col("Open").cast("string"))),
+    }
+    path = fresh_path(spark, "landed-mixed")
+    for asset, shape in shapes.items():
+        one = shape(bars.where(F.col("asset") == asset)).repartition(1)
+        one.write.option("header", True).csv(f"{path}/file_of={asset}")
+    wide = bars.where("asset = 'STANDARD'").select(F.concat_ws(",", *base, F.lit("more")).alias("value"))
+    head = spark.createDataFrame([(",".join(base),)], "value string")
+    text = head.select(F.lit(0).alias("k"), "value").unionByName(wide.select(F.lit(1).alias("k"), "value"))
+    text = text.repartition(1).sortWithinPartitions("k", "value").select("value")
+    target = f"{path}/file_of=STANDARD"
+    text.write.text(target)
+    K.rename_files(spark, target, ".txt", ".csv")
+    K.empty_file(spark, f"{path}/file_of=VOID/nothing.csv")
+    return path
+
+
 def directory() -> F.Column:
     return F.regexp_extract("file", "file_of=([^/]+)/", 1)
 
@@ -139,19 +179,18 @@ def directory() -> F.Column:
 @query
 def price_scan(spark, folder):
     """Landed price files scanned with their schema and cleaned."""
-    return CL.clean_prices(LD.scan_prices(spark, landed_prices(spark, folder)).drop("file_of"))
+    return CL.clean_prices(LD.scan_prices(spark, landed_prices(spark, folder), by_name=False))
 
 
 @query
 def price_scan_by_name(spark, folder):
     """The same through the header of each file."""
-    raw = LD.scan_prices(spark, landed_prices(spark, folder), by_name=True)
-    return CL.clean_prices(raw)
+    return CL.clean_prices(LD.scan_prices(spark, landed_prices(spark, folder)))
 
 
 @query
 def macro_scan(spark, folder):
-    return CL.clean_macro(LD.scan_macro(spark, landed_macro(spark, folder)).drop("file_of"))
+    return CL.clean_macro(LD.scan_macro(spark, landed_macro(spark, folder)))
 
 
 @query
@@ -256,7 +295,7 @@ def macro_asof(spark, folder):
 
 @query
 def partition_roundtrip(spark, folder):
-    """Panel written by group, asset and year; one partition read back, the rest counted."""
+    """Panel written by group, asset and year, read back and counted per partition."""
     path = fresh_path(spark, "asset-prices")
     K.write_partitioned(TB.with_calendar(WH.panel(spark, folder)), path)
     back = spark.read.parquet(path)
@@ -265,6 +304,37 @@ def partition_roundtrip(spark, folder):
     )
 
 
+@query
+def one_partition(spark, folder):
+    """Panel written by group, asset and year; the files of one asset and year alone are read back."""
+    path = fresh_path(spark, "asset-prices")
+    K.write_partitioned(TB.with_calendar(WH.panel(spark, folder)), path)
+    back = spark.read.parquet(path).where("asset = 'SMALL' AND year = 1998")
+    return back.select("date", "asset", "close", "year")
+
+
+@query
+def storage_facts(spark, folder):
+    """What is certain about the storage comparison: its metrics, and the rows each format gives back."""
+    panel = staged(WH.panel(spark, folder), "panel")
+    parts = fresh_path(spark, "profile-partitions")
+    profile = storage_profile(panel, parts)
+    number = F.col("value").try_cast("double")
+    facts = profile.select(
+        "metric",
+        F.when(F.col("metric") == "spark_status", F.col("value") == "OK")
+        .when(F.col("metric") == "compression_ratio", number > 0)
+        .when(F.col("metric").endswith("_mb"), number > 0)
+        .otherwise(number >= 0)
+        .alias("sound"),
+    )
+    back = spark.read.parquet(parts).agg(F.count(F.lit(1)).alias("n"))
+    same = back.select(
+        F.lit("partition_rows").alias("metric"), (F.col("n") == panel.agg(F.count(F.lit(1))).scalar()).alias("sound")
+    )
+    return facts.unionByName(same)
+
+
 @query
 def csv_roundtrip(spark, folder):
     """A result table written as CSV and loaded again, dates and numbers parsed."""
@@ -388,7 +458,8 @@ def failure_cases(spark, folder):
 
 @query
 def stats_per_asset(spark, folder):
-    return ST.stats_per_asset(labelled(spark, folder, [PROFILE.short_volatility]), PROFILE)
+    features = asset_features(WH.panel(spark, folder), PROFILE, [PROFILE.short_volatility])
+    return ST.stats_per_asset(features, PROFILE)
 
 
 @query
@@ -399,7 +470,7 @@ def stats_per_brand(spark, folder):
 
 @query
 def stats_per_event(spark, folder):
-    return E.stats_per_event(labelled(spark, folder, ["adj_close"]), PROFILE.events)
+    return E.stats_per_event(asset_features(WH.panel(spark, folder), PROFILE, ["adj_close"]), PROFILE.events)
 
 
 @query
@@ -491,7 +562,7 @@ def overall_verdict(spark, folder):
 
 @query
 def event_verdicts(spark, folder):
-    return E.event_verdicts(labelled(spark, folder), PROFILE.events, PROFILE)
+    return E.event_verdicts(asset_features(WH.panel(spark, folder), PROFILE, ()), PROFILE.events, PROFILE)
 
 
 @query
@@ -643,15 +714,15 @@ def portfolio_daily(spark, folder):
 
 @query
 def portfolio_cumulative(spark, folder):
-    """At single precision: the level grows without bound, so decimals are not a fair measure."""
+    """To twelve digits: the level grows without bound, so decimals are not a fair measure."""
     curve = PF.cumulative_returns(_portfolio(spark, folder))
-    return curve.withColumn("cumulative_return", single("cumulative_return"))
+    return curve.withColumn("cumulative_return", digits("cumulative_return"))
 
 
 @query
 def portfolio_stats(spark, folder):
     stats = PF.strategy_stats(_portfolio(spark, folder), PROFILE)
-    return stats.withColumn("total_return", single("total_return"))
+    return stats.withColumn("total_return", digits("total_return"))
 
 
 @query
@@ -686,6 +757,29 @@ def quality_totals(spark, folder):
     return Q.quality_totals(prices.unionByName(values)).drop("size_mb", "gate")
 
 
+@query
+def quality_report_mixed(spark, folder):
+    """Report on files of many shapes, unreadable ones among them."""
+    return Q.price_file_report(spark, landed_mixed(spark, folder), directory()).drop("size_mb")
+
+
+@query
+def quality_gate_mixed(spark, folder):
+    """Totals of the same files; the size gate at a limit that any file passes and at one that none does."""
+    report = staged(Q.price_file_report(spark, landed_mixed(spark, folder), directory()), "report")
+    totals = [Q.quality_totals(report, mb).withColumn("limit_mb", F.lit(mb)) for mb in (0.0, 1e9)]
+    return totals[0].unionByName(totals[1]).withColumn("size_mb", F.col("size_mb") > 0)
+
+
+@query
+def price_scan_mixed(spark, folder):
+    """Rows of the readable files by name; unreadable ones are left out whole."""
+    rows = LD.scan_prices(spark, landed_mixed(spark, folder))
+    number = lambda c: F.count(V.number(F.col(f"`{c}`"))).alias(c.lower().replace(" ", "_"))
+    names = ["Open", "Close", "Adj Close", "Volume"]
+    return rows.groupBy("asset").agg(F.count(F.lit(1)).alias("rows"), *[number(c) for c in names])
+
+
 @query
 def null_profile(spark, folder):
     return Q.null_counts(asset_features(WH.with_gaps(WH.panel(spark, folder)), PROFILE))
@@ -697,6 +791,22 @@ def panel_metadata(spark, folder):
     return Q.panel_metadata(space.labelled, space.dates)
 
 
+@query
+def pipeline_metadata(spark, folder):
+    """Files, tables, panel facts and storage facts of a run as one table; sizes only as whether they are."""
+    space = workspace(spark, folder, ["adj_close"], correlations=True, reused=True)
+    facts = Q.panel_metadata(space.labelled, space.dates)
+    prices = Q.price_file_report(spark, landed_prices(spark, folder), directory())
+    values = Q.macro_file_report(spark, landed_macro(spark, folder), directory())
+    kinds = {r["type"]: r["n"] for r in prices.unionByName(values).groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    profile = storage_profile(staged(WH.panel(spark, folder), "panel"), fresh_path(spark, "profile-partitions"))
+    files = {f"{kind}_raw_files": kinds[kind] for kind in ("price", "macro")}
+    table = Q.pipeline_metadata(facts, profile, files, 3)
+    measured = F.col("metric").endswith("_sec") | F.col("metric").endswith("_mb") | (F.col("metric") == "compression_ratio")
+    shown = F.when(measured, (F.col("value").try_cast("double") >= 0).cast("string")).otherwise(F.col("value"))
+    return table.select("metric", shown.alias("value"))
+
+
 # Learning
 
 
@@ -822,6 +932,57 @@ def ml_boosting(spark, folder):
     return _model_metrics(spark, folder, "GradientBoosting")
 
 
+@query
+def ml_fold_facts(spark, folder):
+    """What is certain about the fitted models, per model and fold."""
+    folds = M.prepared_folds(training(spark, folder))
+    predictions = staged(M.cross_validated(folds, tuple(M.MODELS)), "predictions")
+    metrics = M.fold_metrics(predictions, M.fold_sizes(folds))
+    score, sure = F.col("score"), F.abs(F.col("score") - 0.5) > 1e-9
+    agreed = predictions.groupBy("model", "fold").agg(
+        F.sum("label").cast("long").alias("positives"),
+        F.min(score.between(0, 1) & (~sure | ((score > 0.5) == (F.col("prediction") == 1)))).alias("prediction_is_score"),
+    )
+    between = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return metrics.join(agreed, ["model", "fold"]).select(
+        "model", "fold", "train_size", "test_size", "positives", "prediction_is_score",
+        (between("accuracy") & between("precision") & between("recall") & between("f1") & between("roc_auc")).alias("in_range"),
+    )
+
+
+@query
+def ml_logistic_gradient(spark, folder):
+    """Slope of the penalised loss at each fold's logistic fit, per feature and for the constant: zero."""
+    table = training(spark, folder)
+    return M.logistic_gradient(M.prepared_folds(table), M.feature_names(table)).withColumn(
+        "gradient", F.round("gradient", 3) + 0.0
+    )
+
+
+@query
+def importance_facts(spark, folder):
+    """Importances of all three models: none negative, and those of trees sum to one."""
+    table = training(spark, folder)
+    sample, names = M.whole_sample(table), M.feature_names(table)
+    parts = [M.feature_importance(sample, names, model) for model in M.MODELS]
+    everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    total = everything.groupBy("model").agg(F.sum("importance").alias("total"))
+    whole = (F.col("model") == "LogisticRegression") | (F.abs(F.col("total") - 1) < 1e-6)
+    return everything.join(total, "model").select(
+        "model", "feature", (F.col("importance") >= 0).alias("not_negative"), whole.alias("whole")
+    )
+
+
+@query
+def best_confusion(spark, folder):
+    """Confusion matrix of the rule with the best F1."""
+    table = training(spark, folder)
+    predictions = staged(rule_predictions(table), "rules")
+    board = M.leaderboard(M.fold_metrics(predictions, M.fold_sizes(M.time_folds(table))))
+    best = M.best_model(board, ["momentum", "reversal", "hedge"]).select("model")
+    return M.confusion(predictions).join(F.broadcast(best), "model")
+
+
 @query
 def feature_importance(spark, folder):
     """Coefficients and forest importances from a fit on all rows."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormglass.config import MARKET, Profile
-from stormglass.functions.staging import staged
+from stormglass.functions.staging import release, staged, written_paths
 from stormglass.operators import breadth as B
 from stormglass.operators import calendar as C
 from stormglass.operators import clean as CL
@@ -25,14 +25,14 @@ from stormglass.operators import score as SC
 from stormglass.operators import stats as ST
 from stormglass.operators.features import asset_features
 from stormglass.plans.storage import storage_profile
-from stormglass.plans.workspace import date_table
+from stormglass.plans.workspace import Workspace, date_table
 from stormglass.sources import landing as LD
 from stormglass.sources import sinks as K
 from stormglass.sources.dimensions import event_table
 
 
 def integrate(
-    spark: SparkSession, prices: str, macro: str, out: str, profile: Profile, by_name: bool = False
+    spark: SparkSession, prices: str, macro: str, out: str, profile: Profile, by_name: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Clean both sources and write the master panel and the wide macro table; returns them as written."""
     clean = staged(CL.clean_prices(LD.scan_prices(spark, prices, by_name)), "prices")
@@ -53,9 +53,8 @@ def label(
     features = spark.read.parquet(f"{out}/feature_dataset.parquet")
     K.write_parquet(date_table(features, wide, profile), f"{out}/date_table.parquet")
     dates = spark.read.parquet(f"{out}/date_table.parquet")
-    hidden = {"date", "benchmark_present", "any_return", *(f"{s.label}_return" for s in profile.roles)}
-    attached = [c for c in dates.columns if c not in hidden]
-    K.write_parquet(L.onto_panel(features, dates, attached), f"{out}/labeled_dataset.parquet")
+    labelled = Workspace(profile, features, dates).labelled
+    K.write_parquet(labelled, f"{out}/labeled_dataset.parquet")
     return spark.read.parquet(f"{out}/labeled_dataset.parquet"), dates
 
 
@@ -119,7 +118,7 @@ def run(
     out: str,
     profile: Profile = MARKET,
     models=tuple(M.MODELS),
-    by_name: bool = False,
+    by_name: bool = True,
     side_by_side: int = 4,
 ) -> dict[str, str]:
     """Run every step and write all tables under ``out``; returns name -> path of the CSV reports.
@@ -127,6 +126,7 @@ def run(
     Reports do not depend on each other, so up to ``side_by_side`` of them are submitted together.
     """
     written: dict[str, str] = {}
+    before = set(written_paths(spark))
 
     def save(name: str, df: DataFrame) -> None:
         written[name] = f"{out}/reports/{name}.csv"
@@ -153,4 +153,5 @@ def run(
     if models:
         for name, df in learn(labelled, profile, models).items():
             save(name, df)
+    release(spark, [path for path in written_paths(spark) if path not in before])
     return written

@@ -1,5 +1,11 @@
 """Scans of landed CSV files and the ingest log.
 
+Files are matched by the names in their own headers, whatever the order, number or width of columns. The
+text is read once: lines are split into cells and written with the place they came from, and headers,
+rows and the state of every file are taken from there. A file that cannot be read as a table (empty, not
+UTF-8, or with a row of more cells than its header) is left out whole and listed with the reason; an
+input error of the file system fails the job.
+
 ``_seq`` orders rows as they lie in the sorted files, so that "the last copy wins" means the same on
 any cluster: file path, then split start, then place within the split.
 """
@@ -7,6 +13,7 @@ any cluster: file path, then split start, then place within the split.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,9 +21,10 @@ from pyspark.sql import types as T
 
 from stormglass import schemas as S
 from stormglass.functions import values as V
-from stormglass.functions.staging import staged
+from stormglass.functions.staging import MAX_BROADCAST_BYTES, staged
 
-MAX_CSV_COLUMNS = 32
+#: One cell at the start of a line or after a comma, in quotes or not.
+CELL = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
 
 
 def _row_order() -> Column:
@@ -27,97 +35,122 @@ def _row_order() -> Column:
     )
 
 
-def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV files with exactly this header; a file with another header fails the job, it is not misread."""
     return (
-        spark.read.schema(schema)
+        _folder(spark)
+        .schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.csv")
         .csv(path)
         .select("*", _row_order().alias("_seq"))
     )
 
 
-def scan_prices(spark: SparkSession, path: str, by_name: bool = False) -> DataFrame:
-    """Landed price files. ``by_name`` reads any header and skips unreadable files, at the cost of one
-    more pass over the text to find the headers."""
+def scan_prices(spark: SparkSession, path: str, by_name: bool = True) -> DataFrame:
+    """Landed price files by name; without ``by_name`` by position, and any other header is an error."""
     if by_name:
         return normalize_price_columns(scan_by_name(spark, path, S.RAW_PRICE.names))
-    return _scan(spark, path, S.RAW_PRICE)
+    return _strict(spark, path, S.RAW_PRICE)
 
 
-def scan_macro(spark: SparkSession, path: str, by_name: bool = False) -> DataFrame:
+def scan_macro(spark: SparkSession, path: str, by_name: bool = True) -> DataFrame:
     if by_name:
         return scan_by_name(spark, path, S.RAW_MACRO.names)
-    return _scan(spark, path, S.RAW_MACRO)
+    return _strict(spark, path, S.RAW_MACRO)
 
 
 def _folder(spark: SparkSession):
-    return (
-        spark.read.option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True)
-    )
+    return spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+
+
+def cells_of(line: Column) -> Column:
+    """Cells of a CSV line, any number of them; an empty cell is null."""
+
+    def plain(cell: Column) -> Column:
+        quoted = F.regexp_replace(F.regexp_replace(cell, r'^"|"$', ""), '""', '"')
+        return F.nullif(F.when(cell.startswith('"'), quoted).otherwise(cell), F.lit(""))
+
+    return F.transform(F.regexp_extract_all(line, F.lit(CELL), F.lit(1)), plain)
+
 
+@dataclass(frozen=True)
+class Landed:
+    """Files of a folder and their rows.
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: its trimmed header names and its size."""
-    lines = _folder(spark).text(path).select(
-        "value", _row_order().alias("_seq"), F.col("_metadata.file_size").alias("file_size")
+    ``files``: file, file_size, header (null if the file is empty), error (null if it can be read).
+    ``lines``: _seq and cells of every line that is not blank, headers included.
+    """
+
+    files: DataFrame
+    lines: DataFrame
+
+    def rows(self, names: Sequence[str]) -> DataFrame:
+        """Data rows of readable files: file, _seq, _at and the named columns.
+
+        ``_at`` holds per name the column's place in the file, 0 for none. The layouts are broadcast if
+        their size allows it; else the join goes by file and split, so one large file is not one key.
+        """
+        spark = self.lines.sparkSession
+        places = F.array(*[F.coalesce(F.array_position("header", n), F.lit(0)).cast("int") for n in names])
+        good = self.files.where("error IS NULL").select("file", "_head", places.alias("_at"))
+        lines = self.lines.select(F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block"), "_seq", "cells")
+        if self.files.count() * (200 + 8 * len(names)) <= MAX_BROADCAST_BYTES:
+            matched = lines.join(F.broadcast(good), "file")
+        else:
+            splits = lines.select("file", "block").distinct()
+            matched = lines.join(good.join(splits, "file"), ["file", "block"])
+        found = [F.get("cells", F.get("_at", F.lit(i)) - 1).alias(n) for i, n in enumerate(names)]
+        data = matched.where((F.col("_seq.block") != 0) | (F.col("_seq.row") != F.col("_head")))
+        return data.select("file", "_seq", "_at", *found)
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, file_size) of every file. Spark's scans pass over files without bytes; the file index that
+    the driver plans a scan with names them too."""
+
+    def plain(name: Column) -> Column:
+        return F.regexp_replace(name, r"^([a-z0-9]+):/+", "$1:/")
+
+    scan = _folder(spark).format("binaryFile").load(path)
+    filled = scan.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("file_size"))
+    named = spark.createDataFrame([(name,) for name in scan.inputFiles()], "name string")
+    both = named.join(filled, plain(F.col("name")) == plain(F.col("file")), "left")
+    return both.select(F.coalesce("file", "name").alias("file"), F.coalesce("file_size", F.lit(0)).alias("file_size"))
+
+
+def read_landed(spark: SparkSession, path: str) -> Landed:
+    """One read of the text; what follows reads the written cells."""
+    lines = _folder(spark).text(path).select("value", _row_order().alias("_seq")).where(F.trim("value") != "")
+    lines = staged(
+        lines.select("_seq", cells_of(F.col("value")).alias("cells"), (~F.is_valid_utf8("value")).alias("_odd")), "cells"
     )
     first = (
-        lines.where((F.col("_seq.block") == 0) & (F.trim("value") != ""))
+        lines.where("_seq.block = 0")
         .groupBy(F.col("_seq.file").alias("file"))
-        .agg(F.min_by("value", "_seq").alias("line"), F.max("file_size").alias("file_size"))
+        .agg(F.min(F.struct("_seq.row", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("header"))).alias("h"))
     )
-    names = [f"_c{i}" for i in range(MAX_CSV_COLUMNS)]
-    parsed = F.from_csv(F.col("line"), ", ".join(f"{n} string" for n in names))
-    wide = first.select("file", "file_size", F.inline(F.array(parsed)))
-    too_wide = F.concat(F.lit(f"more than {MAX_CSV_COLUMNS - 1} columns in "), F.col("file"))
-    cells = F.when(F.col(names[-1]).isNull(), F.array(*names)).otherwise(F.raise_error(too_wide))
-    header = F.transform(F.filter(cells, lambda c: c.isNotNull()), lambda c: F.trim(c))
-    return wide.select("file", "file_size", header.alias("header"))
-
-
-def rows_by_header(
-    spark: SparkSession, path: str, names: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Data rows with the named columns, wherever each file has them, and the headers themselves.
-
-    ``_at`` holds per name the column's place in the file, 0 for none. Places are found once per file;
-    the headers are a written table, so Spark knows its size and broadcasts it or not by itself.
-    """
-    headers = staged(file_headers(spark, path), "headers")
-    places = F.struct(
-        *[
-            F.coalesce(F.array_position("header", n), F.lit(0)).cast("int").alias(place(names, n))
-            for n in names
-        ]
+    widest = lines.groupBy(F.col("_seq.file").alias("file")).agg(F.max(F.size("cells")).alias("widest"), F.max("_odd").alias("odd"))
+    listed = _listed(spark, path)
+    error = (
+        F.when(F.col("h").isNull(), "empty file")
+        .when(F.col("odd"), "not UTF-8 text")
+        .when(
+            F.col("widest") > F.size("h.header"),
+            F.concat(F.lit("a row has "), F.col("widest"), F.lit(" cells, the header "), F.size("h.header")),
+        )
     )
-    cells = [f"_c{i}" for i in range(MAX_CSV_COLUMNS)]
-    rows = (
-        _folder(spark)
-        .schema(", ".join(f"{n} string" for n in cells))
-        .option("header", True)
-        .csv(path)
-        .select(F.array(*cells).alias("_cells"), _row_order().alias("_seq"))
+    files = listed.join(first, "file", "left").join(widest, "file", "left")
+    files = files.select(
+        "file", "file_size", F.col("h.header").alias("header"), F.col("h.row").alias("_head"), error.alias("error")
     )
-    placed = headers.select("file", places.alias("_at"))
-    matched = rows.join(placed, F.col("_seq.file") == F.col("file"))
-    found = [F.get("_cells", F.col(f"_at.{place(names, n)}") - 1).alias(n) for n in names]
-    return matched.select("file", "_seq", "_at", *found), headers
-
-
-def place(names: Sequence[str], name: str) -> str:
-    return f"p{list(names).index(name)}"
+    return Landed(staged(files, "files"), lines)
 
 
 def scan_by_name(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """CSV files whose headers differ in order or completeness; a missing column reads as null."""
-    rows, _ = rows_by_header(spark, path, names)
-    return rows.drop("file", "_at")
+    """CSV files whose headers differ in order, width or completeness; a missing column reads as null."""
+    return read_landed(spark, path).rows(names).drop("file", "_at")
 
 
 def normalize_price_columns(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormglass.config import Profile
@@ -43,22 +43,56 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def analysis_columns(profile: Profile) -> list[str]:
     """Columns of the analysis panel, in order; those a table lacks are left out of the projection."""
-    prices = ["date", "asset", "group", "open", "high", "low", "close", "adj_close", "volume"]
-    features = [
-        "daily_return", "log_return", "cumulative_return", "drawdown",
-        profile.short_volatility, profile.medium_volatility,
+    # Names and order of the inventory's panel, with the profile's labels.
+    return [
+        "date",
+        "asset",
+        "group",
+        "open",
+        "high",
+        "low",
+        "close",
+        "adj_close",
+        "volume",
+        "daily_return",
+        "log_return",
+        "cumulative_return",
+        "drawdown",
+        profile.short_volatility,
+        profile.medium_volatility,
+        *profile.rolling_corr_columns,
+        profile.stress_variable,
+        profile.recession_variable,
+        *profile.panel_aliases,
+        "inflation_yoy",
+        profile.stress_flag,
+        "crisis_by_recession",
+        profile.drawdown_flag,
+        "final_crisis_label",
+        profile.success,
+        profile.benchmark_drawdown,
     ]
-    levels = [profile.stress_variable, profile.recession_variable]
-    shown = dict(profile.macro_aliases)
-    skipped = {profile.price_index, "EFFR"}
-    aliases = [shown[v] for v in shown if v not in skipped] + ["inflation_yoy"]
-    labels = [
-        profile.stress_flag, "crisis_by_recession", profile.drawdown_flag,
-        "final_crisis_label", profile.success, profile.benchmark_drawdown,
-    ]
-    return prices + features + list(profile.rolling_corr_columns) + levels + aliases + labels
 
 
 def analysis_panel(labelled: DataFrame, profile: Profile) -> DataFrame:
     present = set(labelled.columns)
     return labelled.select(*[F.col(f"`{c}`") for c in analysis_columns(profile) if c in present])
+
+
+def _target(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def empty_file(spark: SparkSession, path: str) -> None:
+    target, system = _target(spark, path)
+    system.create(target).close()
+
+
+def rename_files(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Another ending for the files of one folder."""
+    target, system = _target(spark, folder)
+    for status in system.listStatus(target):
+        name = status.getPath().toString()
+        if name.endswith(old):
+            system.rename(status.getPath(), _target(spark, name[: -len(old)] + new)[0])

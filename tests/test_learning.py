@@ -3,6 +3,7 @@ import random
 from datetime import date
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from stormglass.operators import learning as M
@@ -87,3 +88,16 @@ def test_logistic_end_to_end(spark):
     weights = M.feature_importance(M.whole_sample(data), M.feature_names(data), "LogisticRegression")
     rows = {r["feature"]: r["importance"] for r in weights.collect()}
     assert rows["a_lag1"] > 0.1 and rows["c_lag1"] == 0.0 and not math.isnan(rows["b_lag1"])
+
+
+@pytest.mark.parametrize("only", [0, 1])
+def test_folds_of_one_class(spark, only):
+    """A fold that has seen one class scores with it alone, whatever the model."""
+    rows = [("train", i, only, float(i % 7)) for i in range(40)] + [("test", 40 + i, i % 2, float(i)) for i in range(6)]
+    folds = spark.createDataFrame(rows, "role string, n int, label int, x_lag1 double")
+    folds = folds.select(F.lit(1).alias("fold"), "role", F.date_add(F.lit("2020-01-01").cast("date"), F.col("n")).alias("date"), "label", "x_lag1")
+    ready = VectorAssembler(inputCols=["x_lag1"], outputCol="features").transform(folds)
+    for name in M.MODELS:
+        got = M.cross_validated(ready, [name]).collect()
+        assert len(got) == 6 and {r["prediction"] for r in got} == {only}, name
+        assert all(0.0 <= r["score"] <= 1.0 and (r["score"] > 0.5) == bool(only) for r in got), name

@@ -7,7 +7,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_pipeline_writes_every_report(spark, tmp_path):
     prices, macro = catalog.landed_prices(spark, SMALL), catalog.landed_macro(spark, SMALL)
     written = pipeline.run(
-        spark, prices, macro, str(tmp_path / "out"), WAREHOUSE, models=("LogisticRegression",), by_name=True
+        spark, prices, macro, str(tmp_path / "out"), WAREHOUSE, models=("LogisticRegression",)
     )
     counts = {
         name: spark.read.option("header", True).csv(path).count() for name, path in written.items()

@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 from stormglass.config import MARKET
 from stormglass.functions import values as V
-from stormglass.functions.staging import broadcast_days, broadcast_list, shared_folder, staged
+from stormglass.functions.staging import (
+    broadcast_days,
+    broadcast_list,
+    default_folder,
+    release,
+    shared_folder,
+    staged,
+    written_paths,
+)
 from stormglass.operators import clean as CL
 from stormglass.operators import quality as Q
 from stormglass.sources import dimensions as D
@@ -28,7 +36,7 @@ def test_last_file_and_row_win(spark, tmp_path):
     write(tmp_path, "b.csv", HEADER, "2020-01-02,3,3,3,3,3,,X,g,s", "bad,9,9,9,9,9,9,X,g,s")
     write(tmp_path, "c.csv", HEADER, "2020-01-02,4,4,4,x,,7,X,g,s", "2020-01-03,,,,,,,X,g,s")
     for by_name in (False, True):
-        rows = CL.clean_prices(LD.scan_prices(spark, str(tmp_path), by_name)).orderBy("date").collect()
+        rows = CL.clean_prices(LD.scan_prices(spark, str(tmp_path), by_name=by_name)).orderBy("date").collect()
         assert [(r["date"], r["open"], r["close"], r["adj_close"], r["volume"]) for r in rows] == [
             (date(2020, 1, 1), 2.0, 2.0, 2.0, 5.0),
             (date(2020, 1, 2), 4.0, 2.0, 2.0, 7.0),
@@ -40,7 +48,7 @@ def test_other_header_fails_by_position_and_reads_by_name(spark, tmp_path):
     write(tmp_path, "a.csv", HEADER, "2020-01-01,1,1,1,1,1,5,X,g,s")
     write(tmp_path, "b.csv", " asset ,Date,Close", "Y,2020-01-01,8")
     with pytest.raises(Exception, match="CSV header"):
-        LD.scan_prices(spark, str(tmp_path)).collect()
+        LD.scan_prices(spark, str(tmp_path), by_name=False).collect()
     found = LD.scan_prices(spark, str(tmp_path), by_name=True)
     rows = {r["asset"]: (r["Date"], r["Close"], r["Open"]) for r in found.collect()}
     assert rows == {"X": (date(2020, 1, 1), "1", "1"), "Y": (date(2020, 1, 1), "8", None)}
@@ -65,6 +73,42 @@ def test_quality_report(spark, tmp_path):
     assert Q.quality_totals(report, pass_mb=0.0).first()["gate"] == "PASS"
 
 
+def test_files_that_are_no_tables(spark, tmp_path):
+    wide = ",".join(["Date", "Close", *[f"x{i}" for i in range(60)]])
+    write(tmp_path, "a.csv", wide, "2020-01-01 09:30:00,3" + ",0" * 60, "2020-01-02,NA" + "," * 60)
+    write(tmp_path, "b.csv", "Date,Open,High,Low,Close,Adj Close", "2020-01-01,1,1,1,1,1", "1500-01-01,1,1,1,1,1", "none,null,1,1,1,1")
+    write(tmp_path, "c.csv", "Date,Open,High,Low,Close,Volume", '2020-01-01,"1",1,1,1,"5,5"')
+    write(tmp_path, "d.csv", "Date,Close", "2020-01-01,1,2")
+    open(tmp_path / "e.csv", "w").close()
+    with open(tmp_path / "f.csv", "wb") as out:
+        out.write(b"Date,Close\n2020-01-01,\xff\xfe\n")
+    with open(tmp_path / "g.csv", "w") as out:
+        out.write("\n\n  \n")
+    names = F.regexp_extract("file", "([a-z]).csv$", 1)
+    rows = {r["file"]: r for r in Q.price_file_report(spark, str(tmp_path), names).collect()}
+    assert set(rows) == set("abcdefg")
+    assert [rows[f]["error"] for f in "abc"] == [""] * 3
+    assert rows["d"]["error"] == "a row has 3 cells, the header 2" and rows["f"]["error"] == "not UTF-8 text"
+    assert rows["e"]["error"] == rows["g"]["error"] == "empty file"
+    assert all(not rows[f]["ok"] and rows[f]["rows"] == 0 for f in "defg")
+    assert rows["a"]["date_range"] == "2020-01-01 09:30:00 -> 2020-01-02 00:00:00" and rows["a"]["na_cell_count"] == 1
+    assert (rows["b"]["rows"], rows["b"]["unreadable_dates"], rows["b"]["na_cell_count"]) == (3, 2, 1)
+    both = Q.price_file_report(spark, str(tmp_path), F.when(names.isin("b", "c"), "bc").otherwise(names))
+    assert both.where("file = 'bc'").first()["missing_required_cols"] == "Adj Close,Volume"
+    scanned = LD.scan_prices(spark, str(tmp_path)).collect()
+    assert len(scanned) == 6
+    assert {r["Volume"] for r in scanned} == {None, "5,5"}
+    assert Q.quality_totals(both).first()["files"] == 6
+
+
+def test_layouts_beyond_the_broadcast_limit(spark, tmp_path, monkeypatch):
+    write(tmp_path, "a.csv", HEADER, "2020-01-01,1,1,1,1,1,5,X,g,s")
+    write(tmp_path, "b.csv", "asset,Date,Close", "Y,2020-01-01,8")
+    monkeypatch.setattr(LD, "MAX_BROADCAST_BYTES", 0)
+    rows = LD.scan_prices(spark, str(tmp_path))
+    assert {(r["asset"], r["Close"]) for r in rows.collect()} == {("X", "1"), ("Y", "8")}
+
+
 def test_macro_dot_is_missing_and_carried(spark, tmp_path):
     write(tmp_path, "m.csv", "Date,Value,variable,source", "2020-01-01,1.5,A,f", "2020-01-02,.,A,f",
           "2020-01-01,7,B,f", "2020-01-03,.,C,f")
@@ -139,6 +183,25 @@ def test_load_table_prefers_parquet(spark, tmp_path):
     assert TB.load_table(spark, base, df.schema).first()["v"] == 1.5
 
 
+def test_no_driver_disk_on_a_cluster(spark):
+    for master in ("local[4]", "local", "local[*]"):
+        assert default_folder(spark, "file:/tmp/w", master).startswith("file:/tmp/w/")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            default_folder(spark, "file:/tmp/w", master)
+
+
+def test_released_tables_are_gone(spark):
+    before = written_paths(spark)
+    df = staged(spark.range(5), "gone")
+    mine = [p for p in written_paths(spark) if p not in before]
+    assert len(mine) == 1 and df.count() == 5
+    release(spark, mine)
+    assert written_paths(spark) == before
+    with pytest.raises(Exception):
+        spark.read.parquet(mine[0])
+
+
 def test_staging(spark):
     assert shared_folder(spark)
     df = spark.range(10).withColumn("x", F.col("id") * 2)
