@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from stormglass.functions.staging import written_paths
 from stormglass.operators import calendar as C
 from stormglass.operators import score as SC
 from stormglass.operators.features import asset_features
@@ -100,3 +101,10 @@ def test_entry(spark):
 
     rows = entry.entry(spark)
     assert rows.count() == 12 and rows.where(F.col("regime") == "crisis").count() == 6
+
+
+@pytest.mark.parametrize("name", ["stats_per_asset", "stats_per_event", "event_verdicts"])
+def test_statistics_without_labels_write_nothing(spark, name):
+    before = written_paths(spark)
+    catalog.QUERIES[name](spark, SMALL).collect()
+    assert written_paths(spark) == before
