@@ -13,6 +13,8 @@ units than the difference allows, every partner is met in one of the searched se
 - Candidates: per signature, each set is compared with one hub; sets linked by then are one component
   and need no more pairs among them; then the next hub, until few pairs between components are left,
   which are all compared. So no group is expanded into its pairs, and no link between components is lost.
+- Pruning: a set shares 4 (a + b) / 9 or more with a partner. Its shingles that no candidate of another
+  component has bound the sizes a partner can have; where no such size occurs, the set is settled.
 - Verification counts the shared shingles of a candidate pair. Sets are told apart by 64-bit hashes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text with fewer words than a shingle is one
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormglass.functions.staging import staged
@@ -39,7 +41,8 @@ SHINGLE = 5
 FIRST_SIZE = 4
 MAX_ROWS = 30_000
 KNOWN = 255
-MAX_HUB_ROUNDS = 6
+MAX_HUB_ROUNDS = 4
+MANY_PAIRS = 1000  # pairs per entry, before sizes are compared, that make another round with hubs worth it
 
 
 @dataclass(frozen=True)
@@ -388,18 +391,80 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * 80).select("a", "b")
 
 
-def _cross_pairs(entries: DataFrame) -> DataFrame:
-    a = entries.select("signature", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("searches").alias("sa"))
-    b = entries.select("signature", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("searches").alias("sb"))
-    return a.join(b, "signature").where("ca < cb AND (sa OR sb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _least_partner(size: Column) -> Column:
+    """Smallest size that a partner can have."""
+    return F.ceil(size * 4 / 5).cast("long")
+
+
+def _most_partner(size: Column, alone: Column) -> Column:
+    """Largest size of a partner, for a set with ``alone`` shingles that no candidate has: the partner
+    shares 4 / 9 of both sizes' sum or more, and the others are too few for more."""
+    return F.least(F.floor(size * 5 / 4), F.floor((size * 5 - alone * 9) / 4)).cast("long")
+
+
+def _alone(sets: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, size, alone): shingles of each set that no set of another component among ``nodes`` has;
+    without ``nodes`` every set is a component."""
+    if nodes is None:
+        single = sets.select("no", F.explode("shingles").alias("shingle"))
+        spread = single.groupBy("shingle").agg(F.min("no").alias("no"), F.max("no").alias("last"))
+        alone = spread.where("no = last").select("no")
+        sized = sets.select("no", "node", "size")
+    else:
+        own = sets.join(nodes, "node")
+        single = own.select("no", "component", F.explode("shingles").alias("shingle"))
+        spread = single.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        alone = spread.where("lo = hi").select("shingle").join(single.select("shingle", "no"), "shingle").select("no")
+        sized = own.select("no", "node", "size")
+    counts = alone.groupBy("no").agg(F.count("*").alias("alone"))
+    return sized.join(counts, "no", "left").select("node", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _live(entries: DataFrame) -> DataFrame:
+    """Entries of signatures that have two components and an entry that searches, and in them the sets
+    whose sizes of possible partners occur; the others are settled."""
+    known = entries.groupBy("signature").agg(
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.max("searches").alias("any"),
+        F.min("size").alias("small"),
+        F.max("most").alias("wide"),
+    )
+    kept = entries.join(known.where("lo < hi AND any"), "signature").where("most >= small AND size <= wide")
+    return kept.select("signature", "node", "component", "searches", "size", "most")
+
+
+def _open(entries: DataFrame, alone: DataFrame) -> DataFrame:
+    """Entries that may still hold a link between components, with size and ``most``, a partner's largest size."""
+    sizes = alone.withColumn("most", _most_partner(F.col("size"), F.col("alone"))).where(_least_partner(F.col("size")) <= F.col("most"))
+    entries = entries.select("signature", "node", "component", "searches")
+    return staged(_live(entries.join(sizes.select("node", "size", "most"), "node")), "jaccard-open")
+
+
+def _can_link(a: str, b: str) -> Column:
+    return (F.col(f"{a}size") <= F.col(f"{b}most")) & (F.col(f"{b}size") <= F.col(f"{a}most")) & (F.col(f"{a}searches") | F.col(f"{b}searches"))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(entries: DataFrame) -> DataFrame:
-    """Entries of signatures that still have two components, at least one entry searching."""
-    live = entries.groupBy("signature").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("searches").alias("any")
+def _hub_pairs(entries: DataFrame, hubs: DataFrame) -> DataFrame:
+    sides = entries.join(hubs, "signature").where((F.col("node") != F.col("h_node")) & (F.col("component") != F.col("h_component")))
+    return sides.where(_can_link("", "h_")).select(*_pair("node", "h_node")).distinct()
+
+
+def _cross_pairs(entries: DataFrame) -> DataFrame:
+    """All pairs between components, each from the smallest signature at which it is a candidate."""
+    own = entries.groupBy("node").agg(
+        F.collect_list("signature").alias("all"), F.collect_list(F.when(F.col("searches"), F.col("signature"))).alias("asked")
     )
-    return entries.join(live.where("lo < hi AND any").select("signature"), "signature")
+    rows = entries.join(own, "node")
+    a = rows.select(*[F.col(c).alias(c if c == "signature" else f"a_{c}") for c in rows.columns])
+    b = rows.select(*[F.col(c).alias(c if c == "signature" else f"b_{c}") for c in rows.columns])
+    met = F.concat(F.array_intersect("a_asked", "b_all"), F.array_intersect("a_all", "b_asked"))
+    both = a.join(b.withColumnRenamed("signature", "b_signature"), (F.col("signature") == F.col("b_signature")) & (F.col("a_component") < F.col("b_component")) & _can_link("a_", "b_") & (F.array_min(met) == F.col("signature")))
+    return both.select(*_pair("a_node", "b_node"))
 
 
 def _with_components(entries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -409,31 +474,39 @@ def _with_components(entries: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _links(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified edges that connect whatever the entries connect."""
+    """Verified edges that connect whatever the entries connect.
+
+    A hub is the set of a signature that meets the most sets over all its signatures, as the origin of a
+    group of edited copies does. Rounds with hubs end when few pairs are left or a round links nothing.
+    """
     spark, edges = entries.sparkSession, None
-    left = staged(_open(entries.withColumn("component", F.col("node"))), "jaccard-open")
+    left = _open(entries.withColumn("component", F.col("node")), _alone(sets))
     for turn in range(MAX_HUB_ROUNDS):
-        by_component = left.groupBy("signature", "component").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        by_signature = by_component.groupBy("signature").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min(F.struct("n", "node")).alias("hub")
-        )
-        by_signature = staged(by_signature, "jaccard-hubs")
-        total = by_signature.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
+        by_component = left.groupBy("signature", "component").agg(F.count("*").alias("n"))
+        held = by_component.groupBy("signature").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        held = staged(held, "jaccard-held")
+        total = held.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
         if not total.n:
             break
-        last = turn == MAX_HUB_ROUNDS - 1 or total.pairs <= 2 * total.n
+        few = total.pairs <= (MANY_PAIRS if turn else 2) * total.n
+        last = few or turn == MAX_HUB_ROUNDS - 1 or (turn > 0 and not linked)
         if last:
             pairs = _cross_pairs(left)
         else:
-            hubs = by_signature.select("signature", F.col("hub.node").alias("hub"))
-            sides = left.join(hubs, "signature").where("node != hub")
-            pairs = sides.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        found = staged(_linked(pairs.distinct(), sets), "jaccard-links")
+            meets = left.join(held.select("signature", "n"), "signature").groupBy("node").agg(F.sum("n").alias("meets"))
+            best = F.max(F.struct("meets", "node", "component", "size", "most", "searches")).alias("hub")
+            hubs = left.join(meets, "node").groupBy("signature").agg(best)
+            hubs = hubs.select("signature", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in ("node", "component", "size", "most", "searches")])
+            hubs = staged(hubs, "jaccard-hubs")
+            pairs = _hub_pairs(left, hubs)
+        found = staged(_linked(pairs, sets), "jaccard-links")
         edges = found if edges is None else edges.unionByName(found)
         if last:
             break
-        rest = left.join(hubs, "signature").where("node != hub").drop("hub")
-        left = staged(_open(_with_components(rest, edges)), "jaccard-open")
+        linked = found.count()
+        rest = left.join(hubs.select("signature", "h_node"), "signature").where("node != h_node").drop("h_node")
+        rest = staged(_live(_with_components(rest, edges)), "jaccard-live")
+        left = _open(rest, _alone(sets, rest.select("node", "component").distinct()))
     return spark.createDataFrame([], "a bigint, b bigint") if edges is None else edges
 
 
@@ -447,13 +520,13 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     seen = staged(A.map_arrow(dealt, _second_pass, schema).drop("packed", "deal"), "jaccard-seen")
 
     info = seen.where("kind = 0")
-    shared = seen.where("kind = 3").select("node", "band", "signature", "code").distinct()
-    shared = staged(shared, "jaccard-shared")
-    frequent = shared.groupBy("signature").agg(F.count("*").alias("frequency")).where("frequency > 1")
+    # every signature that came through has several sets; copies of a set may repeat its rows
+    shared = seen.where("kind = 3").select("node", "band", "signature", "code")
+    frequent = shared.groupBy("signature").agg(F.count("*").alias("frequency"))
     per_slot = (
         shared.join(frequent, "signature")
         .groupBy("node", "band")
-        .agg(F.collect_list(F.struct("frequency", "signature", "code")).alias("entries"))
+        .agg(F.collect_set(F.struct("frequency", "signature", "code")).alias("entries"))
     )
     slots = seen.where("kind = 1").groupBy("node", "band").agg(F.max("needed").alias("needed"), F.max("available").alias("available"))
     judged = A.map_arrow(
@@ -468,10 +541,9 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     if wanted.count() * 8 <= 32 << 20:
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, "source", "left_semi").select("text")
-    sets = staged(
-        A.map_arrow(texts, _sets, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles")),
-        "jaccard-sets",
-    )
+    sets = A.map_arrow(texts, _sets, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = sets.select("node", "shingles", F.size("shingles").cast("long").alias("size"), F.monotonically_increasing_id().alias("no"))
+    sets = staged(sets, "jaccard-sets")
     found = components(_links(entries, sets)).select(F.col("id").alias("node"), "component")
 
     classes = info.where("size > 0").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
