@@ -18,9 +18,13 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).where("child > parent").distinct()
 
 
-def _state(edges: DataFrame):
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)")).alias("h")).first()
-    return row.n, row.h
+def _settled(stars: DataFrame) -> bool:
+    """Whether each child has one parent and no parent is a child."""
+    children = stars.groupBy("child").agg(F.count("*").alias("parents"))
+    if children.where("parents > 1").limit(1).count():
+        return False
+    below = children.select(F.col("child").alias("parent"))
+    return not stars.select("parent").distinct().join(below, "parent").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,8 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends, loops and repeated edges count as nothing; without edges the result is empty.
     """
     now = staged(_ordered(edges), "edges")
-    before = _state(now)
-    while before[0]:
+    while not _settled(now):
         least = (
             now.select(F.col("child").alias("node"), F.col("parent").alias("other"))
             .unionByName(now.select(F.col("parent").alias("node"), F.col("child").alias("other")))
@@ -42,10 +45,6 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("child").agg(F.min("parent").alias("m"))
         moved = large.join(lowest, "child").where("parent > m").select(F.col("parent").alias("child"), F.col("m").alias("parent"))
         now = staged(lowest.select("child", F.col("m").alias("parent")).unionByName(moved).distinct(), "small-star")
-        after = _state(now)
-        if after == before:
-            break
-        before = after
     members = now.select(F.col("child").alias("id"), F.col("parent").alias("component"))
     roots = now.select(F.col("parent").alias("id"), F.col("parent").alias("component")).distinct()
     return members.unionByName(roots)
