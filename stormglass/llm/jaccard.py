@@ -454,8 +454,16 @@ def _hub_pairs(entries: DataFrame, hubs: DataFrame) -> DataFrame:
     return sides.where(_can_link("", "h_")).select(*_pair("node", "h_node")).distinct()
 
 
+def _few_pairs(entries: DataFrame) -> DataFrame:
+    """All pairs between components, where signatures hold few of them."""
+    a, b = (entries.select("signature", *[F.col(c).alias(f"{side}_{c}") for c in entries.columns if c != "signature"]) for side in "ab")
+    both = a.join(b, "signature").where((F.col("a_component") < F.col("b_component")) & _can_link("a_", "b_"))
+    return both.select(*_pair("a_node", "b_node")).distinct()
+
+
 def _cross_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs between components, each from the smallest signature at which it is a candidate."""
+    """All pairs between components, each from the smallest signature at which it is a candidate, so that
+    sets with many signatures in common make one row."""
     own = entries.groupBy("node").agg(
         F.collect_list("signature").alias("all"), F.collect_list(F.when(F.col("searches"), F.col("signature"))).alias("asked")
     )
@@ -491,7 +499,7 @@ def _links(entries: DataFrame, sets: DataFrame) -> DataFrame:
         few = total.pairs <= (MANY_PAIRS if turn else 2) * total.n
         last = few or turn == MAX_HUB_ROUNDS - 1 or (turn > 0 and not linked)
         if last:
-            pairs = _cross_pairs(left)
+            pairs = _few_pairs(left) if total.pairs <= 2 * total.n else _cross_pairs(left)
         else:
             meets = left.join(held.select("signature", "n"), "signature").groupBy("node").agg(F.sum("n").alias("meets"))
             best = F.max(F.struct("meets", "node", "component", "size", "most", "searches")).alias("hub")
