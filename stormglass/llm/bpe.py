@@ -32,7 +32,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, WHITE, SPACE, LAST_WHITE, END = range(9)
 _FRESH, _LETTERS, _NUMBERS, _OTHERS, _WHITES, _JOINED, _ONE_MORE, _TWO_MORE = range(8)
 _ALONE = [_LETTERS, _NUMBERS, _OTHERS, _ONE_MORE, _TWO_MORE, _WHITES, _JOINED, _FRESH, _FRESH]
 _BLOCK = 64
-MAX_CACHED = 300_000
+MAX_CACHED = 200_000
 PIECE_BYTES = 1 << 20
 MAX_CACHED_BYTES = 64
 _HEAP_FROM = 200
