@@ -247,25 +247,13 @@ class Vocabulary:
         return self.bytes[spread(self.firsts[ids], lengths)], lengths
 
 
-_VOCABULARIES: dict[int, Vocabulary] = {}
-
-
-def _vocabulary(raw: bytes) -> Vocabulary:
-    """One per worker process, so the cache lasts from task to task."""
-    key = hash(raw)
-    if key not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[key] = Vocabulary(raw)
-    return _VOCABULARIES[key]
-
-
 def _lists(firsts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def _encoder(shared, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared.value)
+        vocabulary = Vocabulary(shared.value)  # ends with the task: workers serve other stages too
         for piece in A.pieces(batches, place, PIECE_BYTES):
             data, begins = A.spaced(piece.column(place))
             starts, ends = slices(data, begins)
@@ -283,7 +271,7 @@ def _encoder(shared, place: int):
 
 def _decoder(shared, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared.value)
+        vocabulary = Vocabulary(shared.value)  # ends with the task: workers serve other stages too
         for batch in batches:
             at = 0
             while at < batch.num_rows:

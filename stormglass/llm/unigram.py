@@ -134,21 +134,9 @@ class Counter:
         return np.where(filled, counts, 0), np.where(filled, scores, 0.0)
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
-def _counter(vocabulary: list[tuple[str, float]]) -> Counter:
-    """One per worker process, so solved runs last from task to task."""
-    key = hash(tuple(vocabulary))
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(vocabulary)
-    return _COUNTERS[key]
-
-
 def _mapper(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(shared.value)
+        counter = Counter(shared.value)  # ends with the task: workers serve other stages too
         for piece in A.pieces(batches, 1):
             counts, scores = counter.count_texts(piece.column(1))
             yield pa.RecordBatch.from_arrays(
