@@ -10,7 +10,9 @@ Retrieval gives all items of ``MIN_SCORE`` or more. A vectorised bound first lea
 no item can reach it: items' frequent words count in full, the others as found. For the rest block-max
 WAND walks the posting lists. A retrieved item is reported if the two-word sequences of the item, of
 its question and of its answer are each found in the passage to ``MIN_OVERLAP`` or more. The answer is
-the text after the last ``?`` or else the last sentence; without either, question and answer are one.
+the text after the last ``?`` before white space; an item without one has no parts and is decided as a
+whole. One edited word can break most sequences of a part of ``SHORT_PART`` words or fewer, so such a
+part also counts as found if the whole item is found to ``HIGH_OVERLAP`` or more.
 
 The index goes to every task in blocks of bounded size; items beyond it make more blocks, each a pass
 over the documents. Items without words match nothing; a null item id stays null in the result; repeated
@@ -19,6 +21,7 @@ items count once. Null and empty texts hold no passage. Without items the result
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +39,8 @@ K1, B = 1.2, 0.75
 MIN_SCORE = 0.5
 MIN_OVERLAP = 0.5
 GRAM = 2
+SHORT_PART = 2 * GRAM
+HIGH_OVERLAP = 0.75
 SHORTEST_CLASS = 64
 BLOCK_POSTINGS = 32
 MAX_INDEX_BYTES = 16 << 20
@@ -50,13 +55,9 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def answer_start(text: str) -> int:
-    """Where the answer begins in an item's text; 0 if nothing tells question and answer apart."""
-    text = text.rstrip()
-    mark = text.rfind("?", 0, len(text) - 1)
-    if mark >= 0:
-        return mark + 1
-    ends = [text.rfind(s, 0, len(text) - 1) for s in (". ", "! ", ".\n", "!\n")]
-    return max(ends) + 1
+    """Where the answer begins in an item's text; 0 if no question mark tells question and answer apart."""
+    marks = [m.end() for m in re.finditer(r"\?(?=\s)", text.rstrip())]
+    return marks[-1] if marks else 0
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +182,13 @@ def _overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return len(wanted & there) / len(wanted)
 
 
+def _verified(overlaps: list[float], question: int, answer: int) -> bool:
+    """Whether the overlaps of item, question and answer, parts of so many words, make a find."""
+    whole = overlaps[0]
+    found = [o >= MIN_OVERLAP or (n <= SHORT_PART and whole >= HIGH_OVERLAP) for o, n in zip(overlaps[1:], (question, answer))]
+    return whole >= MIN_OVERLAP and all(found)
+
+
 def passages(firsts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, first word and end of every passage."""
     words = np.diff(firsts)
@@ -227,7 +235,7 @@ def search(index: Index, column: pa.Array) -> list[tuple[int, int, float, float,
             words, at = index.words[item], index.answers[item]
             question, answer = (words[:at], words[at:]) if 0 < at < len(words) else (words, words)
             overlaps = [_overlap(part, passage) for part in (words, question, answer)]
-            if min(overlaps) >= MIN_OVERLAP:
+            if _verified(overlaps, len(question), len(answer)):
                 own = (min(score, 1.0), overlaps[1], overlaps[2])
                 key = (int(document[p]), item)
                 found[key] = max(found.get(key, own), own)

@@ -114,6 +114,24 @@ def test_any_place_in_a_long_text_and_edits(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, 7) for i, _ in rows if i <= 1000]
 
 
+def test_edited_or_missing_last_sentences(spark):
+    pick = random.Random(10)
+    fill = lambda n: " ".join(f"f{pick.randrange(50_000)}" for _ in range(n))
+    body = lambda k: " ".join(f"{w}{k}" for w in "Grey herons nest early beside shallow lakes and feed on fish at dawn".split())
+    forms = {  # the item, then documents' versions of it
+        1: [f"{body(1)}. Er.", f"{body(1)}. Em.", f"{body(1)}."],
+        2: [f"{body(2)}. Old trees.", f"{body(2)}. Old shrubs.", f"{body(2)}."],
+        3: [f"{body(3)}. They return to one colony.", f"{body(3)}. Others wander off.", f"{body(3)}."],
+        4: [f"{body(4)}, see http://birds.org/a?id=3. Yes.", f"{body(4)}, see http://birds.org/a?id=3. No."],
+        5: [f"{body(5)}? Heron", f"{body(5)}? Egret"],
+    }
+    items = spark.createDataFrame([(i, texts[0]) for i, texts in forms.items()], "item_id bigint, text string")
+    rows = [(10 * i + k, f"{fill(50)} {t} {fill(70)}") for i, texts in forms.items() for k, t in enumerate(texts)] + [(1000, fill(300))]
+    df = H.documents(spark, rows)
+    assert sorted((r.doc_id, r.item_id) for r in D.contaminated(df, items).collect()) == [(k, k // 10) for k, _ in rows[:-1]]
+    assert [r.doc_id for r in D.clean(df, items).collect()] == [1000]
+
+
 def test_blocks_and_long_items(spark):
     pick = random.Random(9)
     items = [(i, " ".join(f"t{pick.randrange(4000)}" for _ in range(pick.choice([5, 20, 64, 65, 200])))) for i in range(60)]
