@@ -8,7 +8,8 @@ A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-
   documents or more. A cuckoo filter forgets what is taken out, so documents can be deleted again.
 
 ``insert`` and ``delete`` add or subtract the counts of a batch and move the keys that cross
-``min_docs`` into or out of their shard's filter. ``strip`` asks the filter for every line; a line it
+``min_docs`` into or out of their shard's filter. A mark can stand for another key only within one table,
+so a shard whose filter has grown several tables and loses keys gets a new filter from the counts. ``strip`` asks the filter for every line; a line it
 does not know stays without any look-up, the others are checked against the exact counts.
 
 A row is a document; repeated rows count once each. A null or empty text is one empty line; an empty
@@ -111,6 +112,8 @@ class CuckooFilter:
         return False
 
     def remove(self, k1: np.ndarray, k2: np.ndarray) -> None:
+        """Clears one equal mark per key. Equal marks are interchangeable within a table but not between
+        tables, where another key's may go instead: with several tables, build the filter anew."""
         spot, mark = self._marks(k1, k2)
         for table in self.tables:
             flat = table.reshape(-1)
@@ -184,7 +187,8 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(rows):
                 getattr(held, word)(rows[:, 0], rows[:, 1])
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([held.to_bytes()], pa.binary())], names=["shard", "filter"]
+            [pa.array([shard], pa.int32()), pa.array([len(held.tables)], pa.int32()), pa.array([held.to_bytes()], pa.binary())],
+            names=["shard", "tables", "filter"],
         )
 
     for batch in batches:
@@ -238,21 +242,24 @@ class LineIndex:
             both = had.unionByName(change.withColumn("old", F.lit(0).cast("long")))
             merged = both.groupBy("k1", "k2").agg(F.sum("old").alias("old"), (F.sum("old") + F.sum("n")).alias("refs"))
         merged = staged(merged.where("refs > 0 OR old > 0"), "line-refs")
-        crossed = merged.where((F.col("refs") >= self.min_docs) != (F.col("old") >= self.min_docs)).select(
-            F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard"),
-            "k1",
-            "k2",
-            F.when(F.col("refs") >= self.min_docs, 1).otherwise(-1).cast("int").alias("move"),
-            F.lit(None).cast("binary").alias("filter"),
-        )
-        if self.filters is not None:
-            none = F.lit(None)
-            crossed = self.filters.select(
-                "shard", none.cast("long").alias("k1"), none.cast("long").alias("k2"), none.cast("int").alias("move"), "filter"
-            ).unionByName(crossed)
+        none, shard = F.lit(None), F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard")
+        known = F.col("refs") >= self.min_docs
+        move = F.when(known, 1).otherwise(-1).cast("int").alias("move")
+        crossed = merged.where(known != (F.col("old") >= self.min_docs)).select(shard, "k1", "k2", move)
+        filters = self.filters
+        if filters is not None and sign < 0:
+            lossy = crossed.where("move < 0").select("shard").join(filters.where("tables > 1").select("shard"), "shard")
+            anew = F.broadcast(staged(lossy.distinct(), "line-anew"))  # one row per shard at most
+            kept = merged.where(known).select(shard, "k1", "k2", move).join(anew, "shard", "left_semi")
+            crossed = crossed.join(anew, "shard", "left_anti").unionByName(kept)
+            filters = filters.join(anew, "shard", "left_anti")
+        crossed = crossed.withColumn("filter", none.cast("binary"))
+        if filters is not None:
+            held = [none.cast("long").alias("k1"), none.cast("long").alias("k2"), none.cast("int").alias("move")]
+            crossed = filters.select("shard", *held, "filter").unionByName(crossed)
         ordered = crossed.repartition(self.shards, "shard").sortWithinPartitions("shard", F.col("filter").isNull())
         self.refs = merged.where("refs > 0").select("k1", "k2", "refs")
-        self.filters = staged(A.map_arrow(ordered, _moved, "shard int, filter binary"), "line-filters")
+        self.filters = staged(A.map_arrow(ordered, _moved, "shard int, tables int, filter binary"), "line-filters")
 
     @property
     def repeated(self) -> DataFrame:

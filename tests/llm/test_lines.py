@@ -84,6 +84,22 @@ def test_deletion_undoes_insertion(spark):
     assert got(index.strip(rest)) == got(fresh.strip(rest)) == stripped(left, 10)
 
 
+def test_many_deletions_from_grown_filters(spark):
+    """Every key still found in two documents is known to its filter, also after removals from several tables."""
+    text = lambda lo, hi: "\n".join(f"line {i}" for i in range(lo, hi))
+    df = lambda *spans: H.documents(spark, [(i, text(*s)) for i, s in enumerate(spans)])
+    index = L.LineIndex(spark, 2, shards=1)
+    index.insert(df((0, 30_000), (0, 30_000)))
+    index.insert(df((30_000, 150_000), (30_000, 150_000)))
+    assert index.filters.first().tables > 1
+    index.delete(df((30_000, 130_000)))
+    held = L.CuckooFilter.from_bytes(index.filters.first()["filter"])
+    left = np.array([tuple(r) for r in index.repeated.collect()], dtype=np.int64)
+    assert len(left) == 50_000 and held.contains(left[:, 0], left[:, 1]).all()
+    index.delete(df((0, 30_000), (130_000, 150_000)))
+    assert index.repeated.count() == 0 and index.strip(df((0, 9))).first().n_dropped == 0
+
+
 def test_edges(spark):
     for clash in (False, True):
         df = H.edges(spark, clash)
