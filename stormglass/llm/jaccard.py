@@ -7,7 +7,8 @@ one for a segment that must agree wholly, two for one that may differ in one shi
 units than the difference allows, every partner is met in one of the searched segments (pigeonhole).
 
 - Signatures: the hash of each segment's subset; for the few wide segments also of the subset without
-  one of its shingles. Empty subsets count only for a set that has too few others.
+  one of its shingles. Empty subsets count only for a set that has too few others; so a wide segment of
+  one shingle, which a partner may lack without a signature for it, counts as a narrow one.
 - Cost: a signature that no other set has costs nothing to search. A set whose free units suffice has
   no partner and is done; the others search their cheapest signatures besides, the frequent ones last.
 - Candidates: per signature, each set is compared with one hub; sets linked by then are one component
@@ -109,6 +110,8 @@ def _signatures(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray, band: Ba
 
     ``owner``: set of each shingle. Gives arrays (set, signature, code) and per set (needed, available)
     units. Codes: 0 narrow, 1 + 2w the whole of wide segment w, 2 + 2w the same without one shingle.
+    A set whose own units are fewer than needed posts empty subsets too and has ``available`` negative,
+    minus all units: they hold only against partners that do the same, the others find it by their own.
     """
     parts, segments = band.narrow + 2 * band.wide, band.narrow + band.wide
     salt = A.mix(np.array([band.number + 77], dtype=np.uint64))[0]
@@ -126,16 +129,18 @@ def _signatures(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray, band: Ba
 
     partner = np.minimum(sizes * 5 // 4, band.most)
     needed = (sizes + partner) // 9 + 1
-    filled = (counts > 0).reshape(len(sizes), segments)
     units = np.where(np.arange(segments) < band.narrow, 1, 2)
-    available = filled @ units
-    empty_too = np.repeat(available < needed, segments)
-    available = np.where(available < needed, units.sum(), available)
+    worth = np.minimum(counts.reshape(len(sizes), segments), units)
+    available = worth.sum(1)
+    few = available < needed
+    available = np.where(few, -units.sum(), available)
+    empty_too = np.repeat(few, segments)
 
     whole = np.flatnonzero((counts > 0) | empty_too)
     column = whole % segments
-    code = np.where(column < band.narrow, 0, 1 + 2 * (column - band.narrow))
-    wide = np.flatnonzero(segment >= band.narrow)
+    as_narrow = (column < band.narrow) | ((counts[whole] == 1) & ~empty_too[whole])
+    code = np.where(as_narrow, 0, 1 + 2 * (column - band.narrow))
+    wide = np.flatnonzero((segment >= band.narrow) & ((counts[place] > 1) | empty_too[place]))
     at = place[wide]
     sets = np.concatenate([whole // segments, owner[wide]])
     signatures = np.concatenate([name(sums[whole], counts[whole], whole), name(sums[at] - value[wide], counts[at] - 1, at)])
@@ -327,10 +332,12 @@ def allocate(needed: int, available: int, entries: list[tuple[int, int, int]]) -
 
     ``entries``: (frequency, signature, code) of its shared signatures. A unit whose signatures no other
     set has is free; for what is still needed the cheapest units are taken, by the sum of frequencies.
+    With ``available`` negative, empty subsets count as well, and as a partner may not have posted its own,
+    the slot stays to be found.
     """
     units: list[tuple[int, list[int]]] = []
     wide: dict[int, tuple[list, list]] = {}
-    free = available
+    free = abs(available)
     for frequency, signature, code in entries:
         if code == 0:
             units.append((frequency, [signature]))
@@ -346,7 +353,7 @@ def allocate(needed: int, available: int, entries: list[tuple[int, int, int]]) -
         units.append((cost + sum(f for f, _ in without), first + [s for _, s in without]))
     lacking = needed - free
     if lacking <= 0:
-        return False, set()
+        return available < 0, set()
     searched: set[int] = set()
     for _, signatures in sorted(units)[:lacking]:
         searched.update(signatures)

@@ -124,6 +124,47 @@ def test_signatures_meet_the_pigeonhole():
             assert met, (n, gone, more)
 
 
+def _slots(flat, firsts):
+    """Per (set, band): needed, available and the signatures with their codes."""
+    (slot, signature, code), (own, band, needed, available) = J.band_signatures(flat, firsts)
+    slots = {s: (int(n), int(a), {}) for s, (n, a) in enumerate(zip(needed, available))}
+    for s, sig, c in zip(slot.tolist(), signature.tolist(), code.tolist()):
+        slots[s][2][sig] = c
+    return {(int(own[s]), int(band[s])): x for s, x in slots.items()}
+
+
+def _meet(x, y):
+    """Whether two slots of one band find each other where no other set has their signatures, and also
+    where every signature has other sets, whichever of them are dear."""
+    met = []
+    for shared_only in (True, False):
+        for dear in range(4):
+            both, finds = set(x[2]) & set(y[2]), False
+            results = []
+            for needed, available, signatures in (x, y):
+                chosen = both if shared_only else set(signatures)
+                entries = [(2 + (hash((s, dear)) % 5 if dear else 0), s, signatures[s]) for s in sorted(chosen)]
+                results.append(J.allocate(needed, available, entries))
+            if all(lives for lives, _ in results):
+                finds = any(searched & both for _, searched in results)
+            met.append(finds)
+    return all(met)
+
+
+def test_wide_segments_of_one_shingle_meet():
+    """Random pairs at the limit, also with nearly empty segments."""
+    pick = np.random.default_rng(11)
+    for n, gone, more in [(10, 2, 0), (11, 2, 0), (15, 3, 0), (10, 1, 1), (11, 1, 1), (14, 1, 1), (16, 3, 0), (18, 2, 2), (27, 3, 3), (31, 6, 0), (40, 8, 0)]:
+        for _ in range(300):
+            universe = np.unique(pick.integers(1, 2**63, n + more, dtype=np.uint64))
+            pick.shuffle(universe)
+            sets = [np.sort(universe[:n]), np.sort(universe[gone:])]
+            assert (n - gone) * 100 >= 80 * (n + more)
+            slots = _slots(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+            bands = {k for i, k in slots if i == 0} & {k for i, k in slots if i == 1}
+            assert any(_meet(slots[(0, k)], slots[(1, k)]) for k in bands), (n, gone, more)
+
+
 def test_components(spark):
     pick = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(5, 5), (None, 3), (200, 201), (201, 200)]
