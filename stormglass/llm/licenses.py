@@ -4,7 +4,8 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a te
 space between them. A notice that may have k edits is split into k + 1 parts, one of which must stand
 in the text as it is (pigeonhole). An Aho-Corasick automaton finds all parts of all notices in one walk;
 around each hit the notice is compared, first as it is, then by the regex library's bounded-error
-matching, which gives the edits and the span. A match begins and ends at word boundaries. Exact
+matching, which gives the edits and the span, and then again what lies before and behind the best match.
+Windows are cut at words. A match begins and ends at word boundaries. Exact
 matches always stay. Of overlapping inexact ones those with fewest edits stay, then the longest, unless
 an exact match of that length is there.
 
@@ -127,6 +128,18 @@ def _word_at(words: Words, text: int, place: int) -> int:
     return int(np.searchsorted(words.heads, place)) - int(words.firsts[text])
 
 
+def _all_best(pattern, part: str, least: int) -> list:
+    """The best match, then the best before it and behind it, and so on in what is ``least`` long or longer."""
+    out, spans = [], [(0, len(part))]
+    while spans:
+        lo, hi = spans.pop()
+        m = pattern.search(part, lo, hi) if hi - lo >= least else None
+        if m:
+            out.append(m)
+            spans += [(lo, m.start() - 1), (m.end(), hi)]
+    return out
+
+
 def find(words: Words, notices: Sequence[Notice]) -> list[tuple[int, int, int, int, int]]:
     """(text, notice, begin, end, edits) of all matches, places in the joined words."""
     automaton, patterns = _machine(tuple(notices))
@@ -152,17 +165,23 @@ def find(words: Words, notices: Sequence[Notice]) -> list[tuple[int, int, int, i
             text = int(np.searchsorted(words.begins, max(at, 0), side="right")) - 1
             lo = max(at - 4 * k - 1, int(words.begins[text]))
             hi = min(at + length + 8 * k + 1, int(words.begins[text + 1]))
+            if lo > words.begins[text]:
+                lo = joined.find(b" ", lo - 1, hi) + 1
+            hi = max(joined.rfind(b" ", lo, hi), joined.rfind(b"\n", lo, hi))
+            if (lo == 0 and at > 4 * k + 1) or hi < lo:
+                continue  # inside one long word
             if windows and windows[-1][0] == text and lo <= windows[-1][2]:
                 windows[-1][2] = max(hi, windows[-1][2])
             elif lo < hi:
                 windows.append([text, lo, hi])
         for text, lo, hi in windows:
-            part = joined[lo:hi].decode("utf-8", "replace")
-            for m in patterns[n].finditer(part):
+            part = joined[lo:hi].decode("utf-8", "surrogateescape")
+            size = lambda x: len(x.encode("utf-8", "surrogateescape"))
+            for m in _all_best(patterns[n], part, length - k):
                 edits = sum(m.fuzzy_counts)
-                begin = lo + len(part[: m.start()].encode())
-                if edits and (lo == words.begins[text] or m.start()):
-                    inexact.append((edits, -length, text, n, begin, begin + len(m.group().encode())))
+                if edits:
+                    begin = lo + size(part[: m.start()])
+                    inexact.append((edits, -length, text, n, begin, begin + size(m.group())))
     exact_spans: dict[int, list[tuple[int, int]]] = {}
     for text, _, begin, end, _ in out:
         exact_spans.setdefault(text, []).append((begin, end))

@@ -60,6 +60,33 @@ def test_every_text_within_the_bound_is_found():
             assert any(L.NOTICES[m[1]].label == notice.label for m in found), edited
 
 
+def test_several_damaged_notices_in_a_row():
+    import pyarrow as pa
+
+    def found(text, label):
+        words = L.words_of(pa.array([text]))
+        matches = [m for m in L.find(words, L.NOTICES) if L.NOTICES[m[1]].label == label]
+        return [(words.joined[a:b].decode(), edits) for _, _, a, b, edits in matches]
+
+    assert found("the mit licence and mit license and mit licenze end", "mit") == [("mit licence", 1), ("mit license", 0), ("mit licenze", 1)]
+    two = found("gnu generel publik license, gnu general public licence", "gpl")
+    assert two == [("gnu generel publik license", 2), ("gnu general public licence", 1)]
+    row = [f"all rights reserve{c}" for c in "qzxqzx"]
+    assert found(", then ".join(row), "proprietary") == [(x, 1) for x in row]
+
+
+def test_other_alphabets_before_a_notice():
+    import pyarrow as pa
+
+    for before in range(0, 12):
+        for fill in ("é", "中", "𝄞"):
+            text = f"{fill * 30} a{fill * before} {'x' * (before % 4)} gnu generel publik license {fill * 9} gnu general public licence"
+            words = L.words_of(pa.array([text]))
+            spans = [words.joined[m[2] : m[3]].decode() for m in L.find(words, L.NOTICES)]
+            assert spans == ["gnu generel publik license", "gnu general public licence"], text
+    assert [m for m in L.find(L.words_of(pa.array(["all rights reserved" + "x" * 500, "y" * 500 + "all rights reserved"])), L.NOTICES)] == []
+
+
 def test_parts_cover_the_notice():
     for notice in L.NOTICES:
         assert "".join(p for _, p in L.parts(notice)) == notice.text
