@@ -4,7 +4,9 @@ Rules like ``example.com/de/`` fit a host and its subdomains where the path star
 longest that fits decides a url explicitly. Aliases are urls joined by edges: a url and its canonical
 form (no scheme, ``www.`` or ``m.``, fragment, tracking parameter, ``.html``, ``index.html`` or closing
 slash, as servers redirect them), a page and its canonical link or refresh target, and any further
-redirects that are given. A url without a fitting rule is blocked if an alias is blocked by rule and no
+redirects that are given. Targets are references as in RFC 3986: resolved against the page's url or its
+``<base>``, with ``.`` and ``..`` segments removed and ``&amp;`` decoded; a fragment alone, or a scheme
+without ``//``, is no edge. The SQL knows only targets with ``://`` or a leading ``/``. A url without a fitting rule is blocked if an alias is blocked by rule and no
 alias is allowed by rule; else it is allowed.
 
 Everything is DataFrame work. Rules are a short parameter and become one conditional; urls enter the
@@ -51,21 +53,53 @@ def canonical(url: Column) -> Column:
     return F.when(_rest(url).isNotNull(), F.concat(name, asked))
 
 
-def _link(url: Column, html: Column, tag: str, value: str) -> Column:
-    """Absolute target of the first such tag of a page; null without one."""
-    target = F.regexp_extract(F.regexp_extract(html, tag, 0), value, 1)
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    return (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host(url), target))
-    )
+def _attribute(html: Column, tag: str, value: str) -> Column:
+    """An attribute of the first such tag of a page; empty without one."""
+    found = F.regexp_replace(F.regexp_extract(html, tag, 0), r"(?i)&(amp|#38|#x26);", "&")
+    return F.regexp_extract(found, value, 1)
+
+
+def references(html: Column) -> list[Column]:
+    """What a page names as its base, its canonical link and its refresh target."""
+    href = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+    return [
+        _attribute(html, r"(?is)<base\b[^>]*>", href),
+        _attribute(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", href),
+        _attribute(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"),
+    ]
 
 
-def links(url: Column, html: Column) -> list[Column]:
-    canon = _link(url, html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
-    refresh = _link(url, html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)")
-    return [canon, refresh]
+def _without_dots(url: Column) -> Column:
+    """The url with the ``.`` and ``..`` segments of its path removed."""
+    head = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    own = path(url)
+    step = lambda kept, part: (
+        F.when(part == ".", kept)
+        .when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+        .otherwise(F.concat(kept, F.array(part)))
+    )
+    parts = F.split(F.regexp_replace(own, "^/", ""), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    closing = F.when(own.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    clean = F.concat(head, F.lit("/"), F.array_join(kept, "/"), closing, F.regexp_extract(_rest(url), r"(?s)[?#].*$", 0))
+    return F.when(own.rlike(r"/\.\.?(/|$)"), clean).otherwise(url)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """Absolute form of a reference on a page; null if it is empty, a fragment, or of a scheme without ``//``."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host(base))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path(base), r"(?s)^/(.*/)?", 1))
+    absolute = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(F.instr(base, "://") == 0, F.lit(None))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, path(base), target))
+        .otherwise(F.concat(site, folder, target))
+    )
+    return _without_dots(absolute)
 
 
 def fitting_rule(url_host: Column, url_path: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -93,7 +127,12 @@ def judge(
     """
     names = [key, url] + ([html] if html else [])
     rows = A.pick(pages, *names).toDF(*["id", "url", "html"][: len(names)])
-    targets = links(F.col("url"), F.col("html")) if html else []
+    targets = []
+    if html:
+        named = references(F.col("html"))
+        rows = rows.select("id", "url", *[r.alias(f"reference{i}") for i, r in enumerate(named)])
+        rows = rows.withColumn("base", F.coalesce(resolve(F.col("url"), F.col("reference0")), "url"))
+        targets = [resolve(F.col("base"), F.col(f"reference{i}")) for i in range(1, len(named))]
     read = staged(rows.select("id", "url", *[t.alias(f"target{i}") for i, t in enumerate(targets)]), "urls")
     pairs = [read.select(F.col("url").alias("source"), F.col(f"target{i}").alias("target")) for i in range(len(targets))]
     if redirects is not None:

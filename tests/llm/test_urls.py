@@ -83,6 +83,47 @@ def test_block_reaches_aliases_and_allow_comes_first(spark):
     assert got[6] == ("safe.net/", "allow") and got[9] == ("bad.org/ok/", "allow")
 
 
+def test_references_are_resolved(spark):
+    base = "http://Site.com/a/b/c.html?q=1#f"
+    expected = {
+        "next.html": "http://site.com/a/b/next.html",
+        "./d/../e": "http://site.com/a/b/e",
+        "../de/x": "http://site.com/a/de/x",
+        "../../../..": "http://site.com/",
+        "..": "http://site.com/a/",
+        "?page=2": "http://site.com/a/b/c.html?page=2",
+        "go?u=https://x.io/../y": "http://site.com/a/b/go?u=https://x.io/../y",
+        "/x/./y": "http://site.com/x/y",
+        "//h.io/z": "http://h.io/z",
+        "https://h.io/a/../b?c=../d": "https://h.io/b?c=../d",
+        "#top": None,
+        "": None,
+        "mailto:a@b.c": None,
+    }
+    df = spark.createDataFrame([(t,) for t in expected], "t string").select("t", U.resolve(F.lit(base), F.col("t")).alias("u"))
+    assert {r.t: r.u for r in df.collect()} == expected
+    bare = spark.createDataFrame([("https://h.io", "x"), ("https://h.io", "?p"), ("no scheme", "x"), (None, "x")], "b string, t string")
+    assert [r[0] for r in bare.select(U.resolve(F.col("b"), F.col("t"))).collect()] == ["https://h.io/x", "https://h.io?p", None, None]
+
+
+def test_block_reaches_pages_with_relative_links(spark):
+    link, fresh = '<link rel="canonical" href="{0}">', '<meta http-equiv="refresh" content="0; url={0}">'
+    rows = [
+        (1, "https://one.io/a/start", fresh.format("next.html")),
+        (2, "https://one.io/b/c/d", link.format("../../a/next")),
+        (3, "https://one.io/a/list", link.format("?page=2&amp;x=1")),
+        (4, "https://one.io/b/", fresh.format("'/a/list?page=2&amp;x=1'")),
+        (5, "https://one.io/e", '<base href="https://two.io/a/">' + link.format("next.html")),
+        (6, "https://one.io/f", link.format("next.html")),
+    ]
+    redirects = spark.createDataFrame(
+        [("https://one.io/a/next", "https://bad.org/1"), ("https://one.io/a/list?page=2&x=1", "https://bad.org/2"), ("https://two.io/a/next", "https://bad.org/3")],
+        "source string, target string",
+    )
+    got = verdicts(U.judge(pages(spark, rows), RULES, redirects))
+    assert {k for k, v in got.items() if v == (None, "block")} == {1, 2, 3, 4, 5} and got[6] == (None, "allow")
+
+
 def test_long_chain(spark):
     n = 40
     rows = [(i, f"https://h{i}.io/") for i in range(n)]
