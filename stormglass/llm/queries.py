@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import bpe, decontaminate, ftrl, jaccard, licenses, lines, rules, shards, unigram, urls
+from stormglass.llm import bpe, chat, collocations, decontaminate, ftrl, jaccard, licenses, lines, rules, search, shards, unigram, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -108,6 +108,36 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(_table(spark, folder, "documents"), least=100, top=2000)
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = search.build(_table(spark, folder, "documents"))
+    return search.top_documents(index, _table(spark, folder, "benchmark"), k=10)
+
+
+#: A conversation of the query's own whose texts hold control strings.
+ODD_CHAT = """
+SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)
+"""
+
+
+def op13_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    given = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    chats = chat.format_chats(given.unionByName(spark.sql(ODD_CHAT)))
+    turns = chats.select("*", chat.turns_of(F.col("formatted")).alias("turns"), chat.masked_texts(F.col("formatted"), F.col("mask")).alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return turns.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length(F.array_join("loss", "")).cast("long").alias("loss_chars"),
+        F.sha2(F.array_join("loss", ""), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,5 +151,8 @@ QUERIES = {
         op8_url_filters,
         op9_quality_classifier,
         op10_sharding,
+        op11_phrase_collocations,
+        op12_ranked_search,
+        op13_chat_formatting,
     )
 }
