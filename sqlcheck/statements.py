@@ -623,6 +623,18 @@ SQL["price_scan_mixed"] = sql(
               count(*) AS adj_close, count(*) FILTER (WHERE asset <> 'MEDIUM') AS volume
        FROM panel WHERE asset <> 'STANDARD' GROUP BY asset""",
 )
+_source = """CASE day(date) % 4 WHEN 1 THEN asset || chr(10) || 'said "' || strftime(date, '%d') || '", then' || chr(10) || chr(10) || 'done'
+  WHEN 2 THEN '"quoted"' WHEN 3 THEN 'a,b' || chr(10) || '"' ELSE 'plain' END"""
+SQL["price_scan_quoted"] = sql(
+    "panel", f"SELECT date AS Date, asset, {_source} AS source, {rnd('close')} AS close FROM panel WHERE asset <> 'PROMO'"
+)
+SQL["quality_report_quoted"] = sql(
+    "panel",
+    """SELECT asset AS file, false AS ok, CASE asset WHEN 'PROMO' THEN 'a quote that is not closed' ELSE '' END AS error,
+              CASE asset WHEN 'PROMO' THEN 0 ELSE count(*) END AS rows, 0 AS duplicate_rows,
+              CASE asset WHEN 'PROMO' THEN '' ELSE strftime(min(date), '%Y-%m-%d 00:00:00') || ' -> ' || strftime(max(date), '%Y-%m-%d 00:00:00') END AS date_range
+       FROM panel GROUP BY asset""",
+)
 _all = [c.lstrip("~") for c in (*_bar, *_feature)] + ["group"]
 SQL["null_profile"] = sql(
     "gap_features",

@@ -169,6 +169,39 @@ def landed_mixed(spark, folder) -> str:
     return path
 
 
+def landed_quoted(spark, folder) -> str:
+    """Landed files whose source cells hold line breaks, empty lines, commas and quotes, by the day of the month;
+    PROMO ends inside quotes."""
+    said = F.concat(F.col("asset"), F.lit('\nsaid "'), F.substring("Date", 9, 2), F.lit('", then\n\ndone'))
+    kinds = F.dayofmonth(F.col("Date").cast("date")) % 4
+    text = F.when(kinds == 1, said).when(kinds == 2, '"quoted"').when(kinds == 3, 'a,b\n"').otherwise("plain")
+    bars = WH.panel(spark, folder).select(
+        F.date_format("date", "yyyy-MM-dd").alias("Date"), F.col("close").alias("Close"), "asset"
+    )
+    path = fresh_path(spark, "landed-quoted")
+    rows = bars.select("Date", "Close", "asset", text.alias("source"), F.col("asset").alias("file_of"))
+    kept = rows.where("asset <> 'PROMO'").repartition("file_of").write.partitionBy("file_of")
+    kept.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    lines = rows.where("asset = 'PROMO'").select(F.concat_ws(",", "Date", "Close", "asset", F.lit("plain")).alias("value"))
+    ends = spark.range(2).select(F.when(F.col("id") == 0, "Date,Close,asset,source").otherwise('2030-01-01,1,PROMO,"open').alias("value"))
+    lines = lines.unionByName(ends).withColumn("k", F.when(F.startswith("value", F.lit("Date")), "").otherwise(F.col("value"))).coalesce(1)
+    target = f"{path}/file_of=PROMO"
+    lines.sortWithinPartitions("k").select("value").write.text(target)
+    K.rename_files(spark, target, ".txt", ".csv")
+    return path
+
+
+def in_small_splits(spark, read):
+    """``read()`` with files cut every 32 kB, so that records cross splits on small tables, too."""
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "32k")
+    try:
+        return read()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def directory() -> F.Column:
     return F.regexp_extract("file", "file_of=([^/]+)/", 1)
 
@@ -188,6 +221,14 @@ def price_scan_by_name(spark, folder):
     return CL.clean_prices(LD.scan_prices(spark, landed_prices(spark, folder)))
 
 
+@query
+def price_scan_quoted(spark, folder):
+    """Records over several lines and splits, joined; a file that ends inside quotes is left out."""
+    path = landed_quoted(spark, folder)
+    rows = in_small_splits(spark, lambda: LD.scan_prices(spark, path))
+    return rows.select("Date", "asset", "source", V.number(F.col("Close")).alias("close"))
+
+
 @query
 def macro_scan(spark, folder):
     return CL.clean_macro(LD.scan_macro(spark, landed_macro(spark, folder)))
@@ -763,6 +804,14 @@ def quality_report_mixed(spark, folder):
     return Q.price_file_report(spark, landed_mixed(spark, folder), directory()).drop("size_mb")
 
 
+@query
+def quality_report_quoted(spark, folder):
+    """State and counts of files whose records run over several lines."""
+    path = landed_quoted(spark, folder)
+    report = in_small_splits(spark, lambda: Q.price_file_report(spark, path, directory()))
+    return report.select("file", "ok", "error", "rows", "duplicate_rows", "date_range")
+
+
 @query
 def quality_gate_mixed(spark, folder):
     """Totals of the same files; the size gate at a limit that any file passes and at one that none does."""

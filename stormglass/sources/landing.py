@@ -1,10 +1,10 @@
 """Scans of landed CSV files and the ingest log.
 
 Files are matched by the names in their own headers, whatever the order, number or width of columns. The
-text is read once: lines are split into cells and written with the place they came from, and headers,
-rows and the state of every file are taken from there. A file that cannot be read as a table (empty, not
-UTF-8, or with a row of more cells than its header) is left out whole and listed with the reason; an
-input error of the file system fails the job.
+text is read once: lines are written with the place they came from, and headers, rows and the state of every
+file are taken from there. Records whose quoted cells hold line breaks are joined first (``records``). A file
+that cannot be read as a table (empty, not UTF-8, with a row of more cells than its header, or with a quote
+that is not closed) is left out whole and listed with the reason; an input error of the file system fails the job.
 
 ``_seq`` orders rows as they lie in the sorted files, so that "the last copy wins" means the same on
 any cluster: file path, then split start, then place within the split.
@@ -22,9 +22,7 @@ from pyspark.sql import types as T
 from stormglass import schemas as S
 from stormglass.functions import values as V
 from stormglass.functions.staging import MAX_BROADCAST_BYTES, staged
-
-#: One cell at the start of a line or after a comma, in quotes or not.
-CELL = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+from stormglass.sources.records import cells_of, join_records, quote_states
 
 
 def _row_order() -> Column:
@@ -65,22 +63,12 @@ def _folder(spark: SparkSession):
     return spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
 
 
-def cells_of(line: Column) -> Column:
-    """Cells of a CSV line, any number of them; an empty cell is null."""
-
-    def plain(cell: Column) -> Column:
-        quoted = F.regexp_replace(F.regexp_replace(cell, r'^"|"$', ""), '""', '"')
-        return F.nullif(F.when(cell.startswith('"'), quoted).otherwise(cell), F.lit(""))
-
-    return F.transform(F.regexp_extract_all(line, F.lit(CELL), F.lit(1)), plain)
-
-
 @dataclass(frozen=True)
 class Landed:
     """Files of a folder and their rows.
 
     ``files``: file, file_size, header (null if the file is empty), error (null if it can be read).
-    ``lines``: _seq and cells of every line that is not blank, headers included.
+    ``lines``: _seq and value of every record that is not blank, headers included.
     """
 
     files: DataFrame
@@ -95,7 +83,8 @@ class Landed:
         spark = self.lines.sparkSession
         places = F.array(*[F.coalesce(F.array_position("header", n), F.lit(0)).cast("int") for n in names])
         good = self.files.where("error IS NULL").select("file", "_head", places.alias("_at"))
-        lines = self.lines.select(F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block"), "_seq", "cells")
+        cells = cells_of(F.col("value")).alias("cells")
+        lines = self.lines.select(F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block"), "_seq", cells)
         if self.files.count() * (200 + 8 * len(names)) <= MAX_BROADCAST_BYTES:
             matched = lines.join(F.broadcast(good), "file")
         else:
@@ -121,31 +110,39 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_landed(spark: SparkSession, path: str) -> Landed:
-    """One read of the text; what follows reads the written cells."""
-    lines = _folder(spark).text(path).select("value", _row_order().alias("_seq")).where(F.trim("value") != "")
+    """One read of the text; what follows reads the written lines."""
+    opens, stays = quote_states(F.col("value"))
+    text = _folder(spark).text(path).select("value", _row_order().alias("_seq"))
     lines = staged(
-        lines.select("_seq", cells_of(F.col("value")).alias("cells"), (~F.is_valid_utf8("value")).alias("_odd")), "cells"
-    )
-    first = (
-        lines.where("_seq.block = 0")
-        .groupBy(F.col("_seq.file").alias("file"))
-        .agg(F.min(F.struct("_seq.row", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("header"))).alias("h"))
-    )
-    widest = lines.groupBy(F.col("_seq.file").alias("file")).agg(F.max(F.size("cells")).alias("widest"), F.max("_odd").alias("odd"))
+        text.select(
+            "_seq.file", "_seq.block", "_seq.row", "value", (~F.is_valid_utf8("value")).alias("odd"),
+            F.size(cells_of(F.col("value"))).alias("width"), opens.alias("opens"), stays.alias("stays"),
+        ),
+        "landed-lines",
+    )
+    broken = lines.select("file", F.lit("").alias("reason")).limit(0)
+    if not lines.where("opens").isEmpty():
+        lines, broken = join_records(lines)
+    lines = lines.where(F.trim("value") != "")
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by(F.struct("row", "value"), "row").alias("first"))
+    header = F.transform(cells_of(F.col("first.value")), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    first = first.select("file", F.struct(F.col("first.row").alias("row"), header.alias("header")).alias("h"))
+    widest = lines.groupBy("file").agg(F.max("width").alias("widest"), F.max("odd").alias("odd"))
     listed = _listed(spark, path)
     error = (
-        F.when(F.col("h").isNull(), "empty file")
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.col("h").isNull(), "empty file")
         .when(F.col("odd"), "not UTF-8 text")
         .when(
             F.col("widest") > F.size("h.header"),
             F.concat(F.lit("a row has "), F.col("widest"), F.lit(" cells, the header "), F.size("h.header")),
         )
     )
-    files = listed.join(first, "file", "left").join(widest, "file", "left")
+    files = listed.join(first, "file", "left").join(widest, "file", "left").join(broken, "file", "left")
     files = files.select(
         "file", "file_size", F.col("h.header").alias("header"), F.col("h.row").alias("_head"), error.alias("error")
     )
-    return Landed(staged(files, "files"), lines)
+    return Landed(staged(files, "files"), lines.select(F.struct("file", "block", "row").alias("_seq"), "value"))
 
 
 def scan_by_name(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
-from datetime import date
+import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,62 @@ def test_files_that_are_no_tables(spark, tmp_path):
     assert Q.quality_totals(both).first()["files"] == 6
 
 
+def read_by_python(path):
+    import csv
+
+    with open(path, newline="") as file:
+        rows = [r for r in csv.reader(file) if r]
+    return [dict(zip(rows[0], r)) for r in rows[1:]]
+
+
+def test_quoted_line_breaks_over_splits(spark, tmp_path):
+    draw = random.Random(11)
+    parts = ['""', "\n", "\n\n", ",", "a", "é b", " ", "x,y\n", '"",""']
+    for name in "abc":
+        lines = ["Date,Open,source"]
+        for day in range(3000):
+            note = "".join(draw.choices(parts, k=draw.randint(0, 12)))
+            cell = f'"{note}"' if draw.random() < 0.7 else draw.choice(["plain", "in\"side", "", '"q"tail'])
+            lines.append(f"{date(2001, 1, 1) + timedelta(day)},{day},{cell}")
+            if draw.random() < 0.05:
+                lines.append("")
+        write(tmp_path, f"{name}.csv", *lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = LD.scan_prices(spark, str(tmp_path)).select("_seq.file", "_seq.block", "Date", "Open", "source").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({(r["file"], r["block"]) for r in found}) > 50
+    for name in "abc":
+        got = sorted((int(r["Open"]), r["Date"].isoformat(), r["source"] or "") for r in found if r["file"].endswith(f"{name}.csv"))
+        want = [(int(r["Open"]), r["Date"], r["source"]) for r in read_by_python(tmp_path / f"{name}.csv")]
+        assert got == want
+
+
+def test_record_over_many_splits(spark, tmp_path):
+    note = "\n".join(f"line {i}, with ""quotes""" for i in range(3000))
+    write(tmp_path, "a.csv", "Date,Close,source", f'2020-01-01,1,"{note}"', "2020-01-02,2,s")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = {r["Close"]: r["source"] for r in LD.scan_prices(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == {"1": note, "2": "s"}
+
+
+def test_broken_quotes_are_listed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("stormglass.sources.records.MAX_RECORD_BYTES", 100)
+    write(tmp_path, "a.csv", "Date,Close,source", '2020-01-01,1,"no end', "2020-01-02,2,s")
+    write(tmp_path, "b.csv", "Date,Close,source", '2020-01-01,1,"' + "\n".join("long" * 3 for _ in range(20)) + '"')
+    write(tmp_path, "c.csv", '"Da', 'te",Close,Date', '"x', '",1,2020-01-01')
+    write(tmp_path, "d.csv", "Date,Close", '2020-01-01,5" pipe', "2020-01-02," + '"' + 'q""' * 3000 + '"')
+    names = F.regexp_extract("file", "([a-z]).csv$", 1)
+    rows = {r["file"]: (r["error"], r["rows"]) for r in Q.price_file_report(spark, str(tmp_path), names).collect()}
+    assert rows["a"] == ("a quote that is not closed", 0) and rows["b"] == ("a record of more than 100 bytes", 0)
+    assert rows["c"] == ("", 1) and rows["d"] == ("", 2)
+    assert {r["Close"] for r in LD.scan_prices(spark, str(tmp_path)).collect()} == {"1", '5" pipe', 'q"' * 3000}
+
+
 def test_layouts_beyond_the_broadcast_limit(spark, tmp_path, monkeypatch):
     write(tmp_path, "a.csv", HEADER, "2020-01-01,1,1,1,1,1,5,X,g,s")
     write(tmp_path, "b.csv", "asset,Date,Close", "Y,2020-01-01,8")
