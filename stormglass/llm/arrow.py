@@ -8,6 +8,7 @@ have equal hashes and two different ones agree with a probability near 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE_BYTES = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
@@ -42,14 +44,38 @@ WORD = table(b"0123456789abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 128)
 
 
 def map_arrow(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
-    """mapInArrow whose workers find this package, as far as they see the driver's installation."""
+    """mapInArrow whose workers find this package, as far as they see the driver's installation.
+
+    A worker serves task after task; what one has taken goes back when it ends.
+    """
     environment = df.sparkSession.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def wider(df: DataFrame, more: str) -> T.StructType:
+    """The schema of ``df``, whatever its columns are called, and further columns given as DDL."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def give_back() -> None:
+    """Free memory that numpy, Arrow and the C library keep for later use goes to the system."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def by_place(df: DataFrame) -> DataFrame:

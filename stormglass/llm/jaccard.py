@@ -361,18 +361,25 @@ def allocate(needed: int, available: int, entries: list[tuple[int, int, int]]) -
 
 
 def _allocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of every slot that may have partners; one slot's entries at a time are Python objects."""
     for batch in batches:
-        out: list[tuple[int, int, bool]] = []
-        for row in batch.to_pylist():
-            entries = [(e["frequency"], e["signature"], e["code"]) for e in row["entries"]]
-            lives, searched = allocate(row["needed"], row["available"], entries)
+        nodes, needed, available = (batch.column(i).to_pylist() for i in range(3))
+        lists = batch.column(3)
+        ends = lists.offsets.to_numpy()
+        frequency, signature, code = (lists.values.field(f).to_numpy() for f in ("frequency", "signature", "code"))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for slot, node in enumerate(nodes):
+            own = slice(ends[slot], ends[slot + 1])
+            signatures = signature[own]
+            lives, searched = allocate(
+                needed[slot], available[slot], list(zip(frequency[own].tolist(), signatures.tolist(), code[own].tolist()))
+            )
             if lives:
-                out.extend((s, row["node"], s in searched) for s in {e[1] for e in entries})
-        signature, node, searches = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(signature, pa.int64()), pa.array(node, pa.int64()), pa.array(searches, pa.bool_())],
-            names=["signature", "node", "searches"],
-        )
+                once = np.unique(signatures)
+                asked = np.isin(once, np.fromiter(searched, np.int64, len(searched)))
+                out.append((once, np.full(len(once), node), asked))
+        found = [np.concatenate(c) for c in zip(*out)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["signature", "node", "searches"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,19 +489,32 @@ def _cross_pairs(entries: DataFrame) -> DataFrame:
     return both.select(*_pair("a_node", "b_node"))
 
 
-def _with_components(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    known = components(edges).withColumnRenamed("id", "node")
-    joined = entries.drop("component").join(known, "node", "left")
-    return joined.withColumn("component", F.coalesce("component", "node"))
+def _with_components(rows: DataFrame, known: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
+    """The rows with the component of ``node``; a node that is in none is its own."""
+    named = known.select(F.col("node").alias(node), F.col("component").alias("_known"))
+    joined = rows.drop(component).join(named, node, "left")
+    return joined.withColumn(component, F.coalesce("_known", node)).drop("_known")
+
+
+def _joined(known: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, component) once the edges ``found`` are known, too; only they are joined anew."""
+    if known is None:
+        return staged(components(found).withColumnRenamed("id", "node"), "jaccard-known")
+    between = _with_components(_with_components(found, known, "a", "ca"), known, "b", "cb")
+    merged = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("_at"), F.col("component").alias("_to"))
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    nodes = known.unionByName(ends.join(known, "node", "left_anti").select("node", F.col("node").alias("component")))
+    moved = nodes.join(merged, nodes["component"] == merged["_at"], "left")
+    return staged(moved.select("node", F.coalesce("_to", "component").alias("component")), "jaccard-known")
 
 
 def _links(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified edges that connect whatever the entries connect.
+    """(node, component) of the sets that verified links join, over whatever the entries connect.
 
     A hub is the set of a signature that meets the most sets over all its signatures, as the origin of a
     group of edited copies does. Rounds with hubs end when few pairs are left or a round links nothing.
     """
-    spark, edges = entries.sparkSession, None
+    spark, known = entries.sparkSession, None
     left = _open(entries.withColumn("component", F.col("node")), _alone(sets))
     for turn in range(MAX_HUB_ROUNDS):
         by_component = left.groupBy("signature", "component").agg(F.count("*").alias("n"))
@@ -515,18 +535,27 @@ def _links(entries: DataFrame, sets: DataFrame) -> DataFrame:
             hubs = staged(hubs, "jaccard-hubs")
             pairs = _hub_pairs(left, hubs)
         found = staged(_linked(pairs, sets), "jaccard-links")
-        edges = found if edges is None else edges.unionByName(found)
+        linked = found.count()
+        if linked:
+            known = _joined(known, found)
         if last:
             break
-        linked = found.count()
         rest = left.join(hubs.select("signature", "h_node"), "signature").where("node != h_node").drop("h_node")
-        rest = staged(_live(_with_components(rest, edges)), "jaccard-live")
+        rest = staged(_live(rest if known is None else _with_components(rest, known)), "jaccard-live")
         left = _open(rest, _alone(sets, rest.select("node", "component").distinct()))
-    return spark.createDataFrame([], "a bigint, b bigint") if edges is None else edges
+    return spark.createDataFrame([], "node bigint, component bigint") if known is None else known
 
 
 def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, n_shingles (size of its set) and component_id (smallest id reachable by links)."""
+    out = _classified(documents, key, text)
+    return out.select(
+        F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+    )
+
+
+def _classified(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: id, source (hash of the text), size, and where the set is not empty component and component_id."""
     spark: SparkSession = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = A.pick(documents, key, text).toDF("id", "text").select("id", F.xxhash64("text").alias("source"), "text")
@@ -559,26 +588,37 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     sets = A.map_arrow(texts, _sets, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = sets.select("node", "shingles", F.size("shingles").cast("long").alias("size"), F.monotonically_increasing_id().alias("no"))
     sets = staged(sets, "jaccard-sets")
-    found = components(_links(entries, sets)).select(F.col("id").alias("node"), "component")
+    found = _links(entries, sets)
 
     classes = info.where("size > 0").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = staged(classes, "jaccard-classes")
     smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(smallest, "component").select("node", "component_id")
-    out = info.join(named, "node", "left")
-    return out.select(
-        F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    named = classes.join(smallest, "component").select("node", "component", "component_id")
+    return info.join(named, "node", "left").select("id", "source", "size", "component", "component_id")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """The written table of rows of two numbers, with a broadcast hint if it has 32 MB at most."""
+    return F.broadcast(df) if df.count() * 24 <= 32 << 20 else df
 
 
 def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with the columns they have, without those that link, over any chain, to one of a
-    smaller id. A row without an id always stays: it cannot be named as a member."""
-    joined = staged(join(documents, key, text), "jaccard-components")
-    gone = joined.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("gone")).distinct()
-    if gone.count() * 16 <= 32 << 20:
-        gone = F.broadcast(gone)
-    rows = A.by_place(documents)
-    stays = rows.join(gone, F.col(f"_{documents.columns.index(key)}") == F.col("gone"), "left_anti")
-    return stays.toDF(*documents.columns)
+    """One document of each group, with the columns it has: the one of smallest id, of equal ids the one of
+    smallest text hash, of rows with equal id and text any one. A text without words is in no group, and a
+    row without an id cannot be named as a member: both always stay."""
+    rows = _classified(documents, key, text).where("id IS NOT NULL AND component IS NOT NULL").select("id", "source", "component")
+    members = rows.groupBy("component", "id", "source").agg(F.count("*").alias("copies"))
+    members = staged(members, "jaccard-members")
+    first = members.groupBy("component").agg(F.min(F.struct("id", "source")).alias("first"))
+    marked = members.join(first, "component").select("id", "source", "copies", (F.struct("id", "source") == F.col("first")).alias("stays"))
+    marked = staged(marked.where("copies > 1 OR NOT stays").select("id", "source", "stays"), "jaccard-marked")
+    place = [f"_{documents.columns.index(c)}" for c in (key, text)]
+    keyed = A.by_place(documents).withColumns({"id": F.col(place[0]), "source": F.xxhash64(place[1])})
+    gone, repeated = (staged(marked.where(c).select("id", "source"), "jaccard-gone") for c in ("NOT stays", "stays"))
+    kept = keyed.join(_few(gone), ["id", "source"], "left_anti")
+    if repeated.count():
+        several = _few(repeated)
+        once = kept.join(several, ["id", "source"], "left_semi").dropDuplicates(["id", "source"])
+        kept = kept.join(several, ["id", "source"], "left_anti").unionByName(once)
+    return kept.select(*A.by_place(documents).columns).toDF(*documents.columns)
