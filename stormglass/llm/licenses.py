@@ -5,6 +5,7 @@ space between them. A notice that may have k edits is split into k + 1 parts, on
 in the text as it is (pigeonhole). An Aho-Corasick automaton finds all parts of all notices in one walk;
 around each hit the notice is compared, first as it is, then by the regex library's bounded-error
 matching, which gives the edits and the span, and then again what lies before and behind the best match.
+Words that tell notices apart (``DISTINCT``) must stand as they are, and no others of them between.
 Windows are cut at words. A match begins and ends at word boundaries. Exact
 matches always stay. Of overlapping inexact ones those with fewest edits stay, then the longest, unless
 an exact match of that length is there.
@@ -59,6 +60,9 @@ NOTICES = [
     Notice("licensed under cc by 4 0", "cc-by"),
     Notice("licensed under cc by sa 4 0", "cc-by-sa"),
     Notice("licensed under cc by nc 4 0", "cc-by-nc"),
+    Notice("licensed under cc by nd 4 0", "cc-by-nd"),
+    Notice("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
+    Notice("licensed under cc by nc nd 4 0", "cc-by-nc-nd"),
     Notice("creative commons attribution", "cc-by"),
     Notice("redistribution and use in source and binary forms with or without modification", "bsd"),
     Notice("mozilla public license", "mpl"),
@@ -67,6 +71,14 @@ NOTICES = [
 ]
 
 
+#: Words that tell one notice from another: an edit inside them makes another notice of it.
+DISTINCT = frozenset(["mit", "cc", "by", "sa", "nc", "nd"])
+
+
+def distinct_words(text: str) -> list[str]:
+    return [word for word in text.split(" ") if word in DISTINCT]
+
+
 def parts(notice: Notice) -> list[tuple[int, str]]:
     """Place and text of the k + 1 parts, as equal in length as can be."""
     pieces = notice.edits + 1
@@ -179,7 +191,7 @@ def find(words: Words, notices: Sequence[Notice]) -> list[tuple[int, int, int, i
             size = lambda x: len(x.encode("utf-8", "surrogateescape"))
             for m in _all_best(patterns[n], part, length - k):
                 edits = sum(m.fuzzy_counts)
-                if edits:
+                if edits and distinct_words(m.group()) == distinct_words(notices[n].text):
                     begin = lo + size(part[: m.start()])
                     inexact.append((edits, -length, text, n, begin, begin + size(m.group())))
     exact_spans: dict[int, list[tuple[int, int]]] = {}
