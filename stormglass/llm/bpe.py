@@ -291,10 +291,6 @@ def _decoder(shared, place: int):
     return run
 
 
-def _fields(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def _share(df: DataFrame, ranks: str):
     """The rank file's bytes, read once by the driver: a vocabulary has a fixed size."""
     with open(ranks, "rb") as file:
@@ -304,7 +300,7 @@ def _share(df: DataFrame, ranks: str):
 def encode(documents: DataFrame, ranks: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, ids and ends (byte of the text where each token ends). ``ranks``: path of the rank file."""
     rows = A.pick(documents, key, text).toDF(key, "text")
-    encoded = A.map_arrow(rows, _encoder(_share(documents, ranks), 1), _fields(rows) + ", ids array<int>, ends array<int>")
+    encoded = A.map_arrow(rows, _encoder(_share(documents, ranks), 1), A.wider(rows, "ids array<int>, ends array<int>"))
     return encoded.drop("text")
 
 
@@ -312,4 +308,4 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
     """The input and ``decoded``, the bytes of the tokens of each row; a null list has none."""
     place = encoded.columns.index(ids)
     filled = encoded.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>")))
-    return A.map_arrow(filled, _decoder(_share(encoded, ranks), place), _fields(encoded) + ", decoded binary")
+    return A.map_arrow(filled, _decoder(_share(encoded, ranks), place), A.wider(encoded, "decoded binary"))

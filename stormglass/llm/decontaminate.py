@@ -340,5 +340,5 @@ def clean(documents: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     rows = A.by_place(documents)
     schema = rows.schema
     for index in build(items):
-        rows = A.map_arrow(rows, _clean(spark.sparkContext.broadcast(index), place), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+        rows = A.map_arrow(rows, _clean(spark.sparkContext.broadcast(index), place), schema)
     return rows.toDF(*documents.columns)

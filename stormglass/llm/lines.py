@@ -271,7 +271,7 @@ class LineIndex:
         size = self.repeated.count() * KEY_BYTES + (self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0)
         rows = A.by_place(documents)
         place = documents.columns.index(text)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n_lines bigint, n_dropped bigint"
+        schema = A.wider(rows, "n_lines bigint, n_dropped bigint")
         if size <= self.max_shipped:
             return A.map_arrow(rows, _drop_shipped(place, self._ship()), schema)
         hits = self._suspects(line_keys(documents, key, text)).join(self.repeated, ["k1", "k2"])
@@ -281,7 +281,8 @@ class LineIndex:
         return A.map_arrow(joined, _drop_joined(place), schema)
 
     def _ship(self):
-        keys = np.array([(r.k1, r.k2) for r in self.repeated.orderBy("k1", "k2").collect()], dtype=np.int64).reshape(-1, 2)
+        found = self.repeated.orderBy("k1", "k2").toArrow()
+        keys = np.stack([found.column(c).to_numpy() for c in ("k1", "k2")], axis=1)
         filters = {r.shard: r.filter for r in self.filters.collect()}
         return self.spark.sparkContext.broadcast((self.shards, filters, keys))
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stormglass.llm import arrow as A
 
@@ -110,9 +111,7 @@ def text_statistics(df: DataFrame, text: str = "text", carry: bool = True) -> Da
     """The input by place (_0, _1, ...; left out unless ``carry``) and COUNTS of its text column."""
     rows = A.by_place(df if carry else df.select(text))
     place = df.columns.index(text) if carry else 0
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    schema = ", ".join([*fields, *[f"{c} bigint" for c in COUNTS]])
-    return A.map_arrow(rows, _counter(place), schema)
+    return A.map_arrow(rows, _counter(place), A.wider(rows, ", ".join(f"{c} bigint" for c in COUNTS)))
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -258,7 +257,7 @@ def learn(
     """Decision list from at most ``max_examples`` labelled documents, those of smallest key hash.
 
     The bound is on the examples of the fit alone; a null key has no label. Ties go by key, so every
-    run learns the same list. Examples that the base rules reject teach nothing and are left out.
+    run learns the same list; ids of any type serve, texts by their hash. Examples that the base rules reject teach nothing and are left out.
     """
     known = A.pick(labels, key, label).toDF("id", "label").where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
@@ -267,7 +266,9 @@ def learn(
     examples = texts.join(F.broadcast(chosen), "id")
     measured = text_statistics(examples.select("id", "label", "text"), "text").drop("_2")
     measured = measured.where(~base_failed())
-    rows = measured.select(F.col("_0").alias("id"), F.col("_1").alias("label"), *COUNTS).orderBy("id", *COUNTS).toPandas()
+    whole = isinstance(measured.schema["_0"].dataType, T.IntegralType)
+    number = F.col("_0").cast("bigint") if whole else F.xxhash64("_0")
+    rows = measured.select(number.alias("id"), F.col("_1").alias("label"), *COUNTS).orderBy("id", *COUNTS).toPandas()
     if rows.empty or rows["label"].nunique() < 2:
         return DecisionList()
     x = features({c: rows[c].to_numpy() for c in COUNTS})

@@ -1,6 +1,7 @@
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stormglass.llm import bpe, rules
@@ -38,3 +39,18 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, H.SF)
         assert out.columns == docs.columns and out.count() <= docs.count()
+
+
+def test_stages_take_text_ids_and_odd_columns(spark):
+    docs = H.table(spark, "documents")
+    odd = docs.selectExpr("*", "struct(doc_id AS `first name`, lang AS `a.b`) AS `odd column`", "1 AS `_0`", "2 AS source", "3 AS component")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, H.SF)
+        assert out.columns == odd.columns
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in stage(spark, docs, H.SF).select("doc_id").collect()}
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = H.table(spark, "labels").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    learned = rules.learn(named, labels)
+    assert learned.rules and rules.keep(named, learned).count() > 0
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        assert stage(spark, named, H.SF).count() == stage(spark, docs, H.SF).count()
