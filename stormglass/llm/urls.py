@@ -156,7 +156,9 @@ def judge(
         .groupBy("component")
         .agg(F.max(F.col("verdict") == "block").alias("blocked"), F.max(F.col("verdict") == "allow").alias("allowed"))
     )
-    caught = votes.where("blocked AND NOT allowed").select("component", F.lit(True).alias("caught"))
+    caught = staged(votes.where("blocked AND NOT allowed").select("component", F.lit(True).alias("caught")), "url-caught")
+    if caught.count() * 16 <= 32 << 20:
+        caught = F.broadcast(caught)
     by_url = found.join(caught, "component").select(F.col("id").alias("node"), "caught")
     out = read.select("id", "url", F.xxhash64("url").alias("node")).join(by_url, "node", "left")
     out = out.select("id", "caught", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
