@@ -101,7 +101,7 @@ def shard(
     spark = documents.sparkSession
     rows = A.pick(documents, key, text).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
     kept = F.col("text") if group is None else group.cast("string").cast("binary")
-    rows = staged(
+    rows = _in_parts(
         rows.select(
             "id",
             (F.octet_length("text") + 1).cast("long").alias("size"),
@@ -117,5 +117,6 @@ def shard(
     ranked = _numbered(groups, "load", ["group"], "rank").join(dealt, "load")
     chosen = F.size(F.filter("ends", lambda end: end <= F.col("rank")))
     placed = rows.join(ranked.select("group", chosen.alias("shard")), "group")
-    parted = _in_parts(placed.select("id", "size", "text_crc32", "shard"), "shard-placed")
-    return _numbered(parted, "shard", ["id", "text_crc32", "size"], "slot").withColumnRenamed("id", key)
+    # numbered by the part in which a row was read, so a large group is not one part
+    placed = staged(placed.select("id", "size", "text_crc32", "shard", "part"), "shard-placed")
+    return _numbered(placed, "shard", ["id", "text_crc32", "size"], "slot").withColumnRenamed("id", key)
