@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PIECE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACES = b" \t\n\x0b\x0c\r"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
@@ -48,8 +50,12 @@ def map_arrow(
 ) -> DataFrame:
     """mapInArrow whose workers find this package, as far as they see the driver's installation.
 
-    A worker serves task after task; what one has taken goes back when it ends.
+    A worker serves task after task; what one has taken goes back when it ends. Batches are held in the JVM
+    and in the worker, so a session that keeps Spark's default of 64 MB gets batches of ``BATCH_BYTES``.
     """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) == "67108864b":
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
     environment = df.sparkSession.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
