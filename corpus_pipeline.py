@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: its id, n_tokens, the token ids, and the text decoded from them."""
-    encoded = bpe.encode(docs, RANKS).select("doc_id", "ids")
+    encoded = staged(bpe.encode(docs, RANKS).select("doc_id", "ids"), "token-ids")  # one Python worker a task at a time
     decoded = bpe.decode(encoded, RANKS)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
