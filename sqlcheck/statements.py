@@ -755,6 +755,32 @@ SQL["ml_logistic_gradient"] = sql(
     f"""SELECT DISTINCT fold, feature, 0.0::DOUBLE AS gradient
         FROM folds, (VALUES {_names}, ('constant')) AS names(feature)""",
 )
+_long = f"SELECT * FROM (UNPIVOT (SELECT * FROM standardized WHERE role = 'train') ON {', '.join(LAGS)} INTO NAME feature VALUE x)"
+_cuts = """SELECT fold, feature, list_sort(list_distinct(list_transform(range(1, 256), lambda j: sorted[(j * len(sorted)) // 256 + 1]))) AS cuts
+  FROM (SELECT fold, feature, list_sort(list(x)) AS sorted FROM long GROUP BY fold, feature)"""
+_tried = """SELECT fold, feature, cut, sum(0.5 - label) AS g, count(*) * 0.25 AS h,
+    coalesce(sum(0.5 - label) FILTER (WHERE x < cut), 0) AS gl, count(*) FILTER (WHERE x < cut) * 0.25 AS hl
+  FROM long JOIN (SELECT fold, feature, unnest(cuts) AS cut FROM cuts) USING (fold, feature) GROUP BY fold, feature, cut"""
+_gained = """SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM tried WHERE hl >= 1 AND h - hl >= 1"""
+_order = ", ".join(f"'{c}'" for c in LAGS)
+SQL["boosting_first_split"] = sql(
+    "standardized",
+    f"""SELECT fold, feature, {rnd('cut')} AS threshold, {rnd('gain')} AS gain, {rnd('-0.05 * gl / (hl + 1)')} AS left_weight,
+               {rnd('-0.05 * (g - gl) / (h - hl + 1)')} AS right_weight
+        FROM gained QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, list_position([{_order}], feature), cut) = 1""",
+    long=_long,
+    cuts=_cuts,
+    tried=_tried,
+    gained=_gained,
+)
+SQL["boosting_histogram"] = sql(
+    "standardized",
+    """SELECT fold, feature, len(list_filter(cuts, lambda c: c <= x))::INTEGER AS bin, count(*) AS rows,
+              CAST(sum(0.5 - label) AS DOUBLE) AS gradient, CAST(count(*) * 0.25 AS DOUBLE) AS curvature
+       FROM long JOIN cuts USING (fold, feature) GROUP BY ALL""",
+    long=_long,
+    cuts=_cuts,
+)
 SQL["importance_facts"] = sql(
     "training",
     f"""SELECT model, feature, true AS not_negative, true AS whole

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from stormglass.config import Profile
 from stormglass.functions import values as V
 from stormglass.functions.staging import broadcast_days, broadcast_list, staged
+from stormglass.operators import boosting
 from stormglass.operators.calendar import with_macro_aliases
 
 MIN_ROWS = 50
@@ -195,17 +196,11 @@ def forest(rows: int, depth: int = MAX_DEPTH, bins: int = MAX_BINS) -> RandomFor
     )
 
 
-def boosting(rows: int, bins: int = MAX_BINS) -> GBTClassifier:
-    return GBTClassifier(
-        maxIter=200, maxDepth=4, maxBins=bins, stepSize=0.05, subsamplingRate=0.9,
-        featureSubsetStrategy="0.9", seed=SEED,
-    )
-
-
-MODELS: dict[str, Callable] = {
+BOOSTED = "GradientBoosting"  # fitted by ``boosting``, all folds at once
+MODELS: dict[str, Callable | None] = {
     "LogisticRegression": logistic,
     "RandomForest": forest,
-    "GradientBoosting": boosting,
+    BOOSTED: None,
 }
 
 
@@ -231,9 +226,17 @@ def cross_validated(folds: DataFrame, models: Sequence[str], parallel: int = 4)
             F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)).alias("score"),
         )
 
-    jobs = [(name, fold) for name in models for fold in numbers]
+    def boosted() -> DataFrame:
+        model = boosting.fit(folds.where("role = 'train'"))
+        found = boosting.scores(folds.where("role = 'test'"), model)
+        predicted = (F.col("score") > 0.5).cast("int").alias("prediction")
+        return found.select(F.lit(BOOSTED).alias("model"), "fold", "date", "label", predicted, "score")
+
+    jobs = [(name, fold) for name in models if name != BOOSTED for fold in numbers]
     with ThreadPoolExecutor(parallel) as pool:
         parts = list(pool.map(one, jobs))
+    if BOOSTED in models:
+        parts.append(boosted())
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -350,13 +353,16 @@ def scores_long(board: DataFrame) -> DataFrame:
 
 def feature_importance(sample: DataFrame, names: Sequence[str], model: str) -> DataFrame:
     """Importance per feature from a fit on all rows: tree gain, or size of the coefficient."""
-    train = sample.select("label", "features").persist()
-    fitted = MODELS[model](train.count()).fit(train)
-    train.unpersist()
-    if hasattr(fitted, "featureImportances"):
-        weights = fitted.featureImportances.toArray()
+    if model == BOOSTED:
+        weights = boosting.fit(sample.withColumn("fold", F.lit(1))).importance(len(names))[0]
     else:
-        weights = abs(fitted.coefficients.toArray())
+        train = sample.select("label", "features").persist()
+        fitted = MODELS[model](train.count()).fit(train)
+        train.unpersist()
+        if hasattr(fitted, "featureImportances"):
+            weights = fitted.featureImportances.toArray()
+        else:
+            weights = abs(fitted.coefficients.toArray())
     rows = [(model, name, float(w)) for name, w in zip(names, weights)]
     frame = sample.sparkSession.createDataFrame(rows, "model string, feature string, importance double")
     return frame.orderBy(F.col("importance").desc(), "feature")

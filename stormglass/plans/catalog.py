@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stormglass.functions import values as V
 from stormglass.functions.staging import fresh_path, staged
+from stormglass.operators import boosting as BO
 from stormglass.operators import breadth as B
 from stormglass.operators import calendar as C
 from stormglass.operators import clean as CL
@@ -981,6 +983,37 @@ def ml_boosting(spark, folder):
     return _model_metrics(spark, folder, "GradientBoosting")
 
 
+@query
+def boosting_first_split(spark, folder):
+    """Per fold the root of the first boosted tree on all rows and features: feature, threshold, gain, leaf weights."""
+    table = training(spark, folder)
+    names = M.feature_names(table)
+    folds = M.prepared_folds(table).where("role = 'train'")
+    model = BO.fit(folds, BO.Settings(trees=1, depth=1, share=1.0))
+    rows = []
+    for k, tree in ((k, model.trees[0]) for k in range(len(model.folds))):
+        name = names[tree.feature[k, 0]] if tree.feature[k, 0] >= 0 else None
+        rows.append((model.folds[k], name, *(float(x) for x in (tree.threshold[k, 0], tree.gain[k, 0], *tree.value[k, 1:3]))))
+    schema = "fold int, feature string, threshold double, gain double, left_weight double, right_weight double"
+    found = spark.createDataFrame(rows, schema)
+    return found.withColumns({c: F.round(c, 8) for c in ("threshold", "gain", "left_weight", "right_weight")})
+
+
+@query
+def boosting_histogram(spark, folder):
+    """Per fold and feature: bins of the first level, their rows, gradient and curvature sums."""
+    table = training(spark, folder)
+    names = F.array(*[F.lit(n) for n in M.feature_names(table)])
+    folds = M.prepared_folds(table).where("role = 'train'").select("fold", "label", vector_to_array("features").alias("values"))
+    cuts = BO.cut_points(folds, 256)
+    long = folds.select("fold", "label", F.posexplode("values").alias("feature", "x")).join(cuts, ["fold", "feature"])
+    bin_of = F.size(F.filter("cuts", lambda c: c <= F.col("x")))
+    sums = long.groupBy("fold", F.get(names, F.col("feature")).alias("feature"), bin_of.alias("bin")).agg(
+        F.count("*").alias("rows"), F.sum(0.5 - F.col("label")).alias("gradient"), (F.count("*") * 0.25).alias("curvature")
+    )
+    return sums
+
+
 @query
 def ml_fold_facts(spark, folder):
     """What is certain about the fitted models, per model and fold."""

@@ -2,10 +2,12 @@ import math
 import random
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from stormglass.operators import boosting as BO
 from stormglass.operators import learning as M
 from tests.helpers import days
 
@@ -101,3 +103,70 @@ def test_folds_of_one_class(spark, only):
         got = M.cross_validated(ready, [name]).collect()
         assert len(got) == 6 and {r["prediction"] for r in got} == {only}, name
         assert all(0.0 <= r["score"] <= 1.0 and (r["score"] > 0.5) == bool(only) for r in got), name
+
+
+def plain_boosting(x, label, cuts, settings, columns, rows):
+    """Trees grown row by row: margins after every tree. ``columns`` and ``rows`` give what a tree may use."""
+    margin = np.zeros(len(label))
+    for turn in range(settings.trees):
+        chance = 1 / (1 + np.exp(-margin))
+        g, h = chance - label, chance * (1 - chance)
+        taken = rows(turn)
+
+        def leaf(at):
+            return -settings.rate * g[at & taken].sum() / (h[at & taken].sum() + settings.l2)
+
+        def grow(at, depth):
+            best, inside = None, at & taken
+            worth = lambda m: g[m].sum() ** 2 / (h[m].sum() + settings.l2)
+            for f in columns(turn) if depth else ():
+                for cut in cuts[f]:
+                    left, right = inside & (x[:, f] < cut), inside & (x[:, f] >= cut)
+                    if min(h[left].sum(), h[right].sum()) >= settings.least_weight:
+                        gain = worth(left) + worth(right) - worth(inside)
+                        if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                            best = (gain, f, cut)
+            if best is None:
+                return np.where(at, leaf(at), 0.0)
+            _, f, cut = best
+            return grow(at & (x[:, f] < cut), depth - 1) + grow(at & (x[:, f] >= cut), depth - 1)
+
+        margin = margin + grow(np.ones(len(label), bool), settings.depth)
+    return margin
+
+
+def test_boosting_against_plain_trees(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(160, 4)), 2)
+    x[:, 3] = 1.0
+    label = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=160) * 0.4 > 0).astype(int)
+    dates = days(160, date(2000, 1, 1))
+    data = [(k, d, int(y), *map(float, v)) for k in (1, 3) for d, y, v in zip(dates, label, x)]
+    df = spark.createDataFrame(data, "fold int, date date, label int, a double, b double, c double, d double").repartition(3)
+    df = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(df).select("fold", "date", "label", "features")
+    settings = BO.Settings(trees=13, depth=3, rate=0.3, bins=32)
+    model = BO.fit(df, settings)
+    number = {r.date: r.n for r in df.select("date", F.xxhash64("date").alias("n")).collect()}
+    numbers = np.array([number[d] for d in dates])
+    cuts = [sorted({np.sort(x[:, f])[j * 160 // 32] for j in range(1, 32)}) for f in range(4)]
+    want = plain_boosting(
+        x, label, cuts, settings,
+        lambda t: sorted(np.argsort(BO._mixed(np.arange(4), settings.seed + 7919 * (t + 1)))[:3]),
+        lambda t: BO._mixed(numbers, settings.seed + 1 + t) < settings.share,
+    )
+    got = {(r.fold, r.date): r.score for r in BO.scores(df, model).collect()}
+    for fold in (1, 3):
+        assert np.allclose([got[fold, d] for d in dates], 1 / (1 + np.exp(-want)), atol=1e-6)
+    share = model.importance(4)
+    assert share[:, 3].tolist() == [0.0, 0.0] and np.allclose(share.sum(axis=1), 1)
+
+
+def test_boosting_of_one_class_and_no_rows(spark):
+    rows = [(1, d, 1, float(i)) for i, d in enumerate(days(40, date(2000, 1, 1)))]
+    df = VectorAssembler(inputCols=["a"], outputCol="features").transform(
+        spark.createDataFrame(rows, "fold int, date date, label int, a double")
+    )
+    model = BO.fit(df, BO.Settings(trees=20, depth=2))
+    assert min(r.score for r in BO.scores(df, model).collect()) > 0.6
+    none = BO.fit(df.limit(0))
+    assert none.trees == [] and BO.scores(df, none).count() == 0
