@@ -786,6 +786,8 @@ SQL["importance_facts"] = sql(
     f"""SELECT model, feature, true AS not_negative, true AS whole
         FROM {_models}, (VALUES {_names}) AS names(feature) WHERE (SELECT count(*) FROM training) > 0""",
 )
+_medians = ", ".join(f"{rnd(f'median(CAST({c} AS DOUBLE))')} AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+SQL["grouped_medians"] = f"SELECT l_returnflag, l_linestatus, {_medians} FROM lineitem GROUP BY l_returnflag, l_linestatus"
 SQL["best_confusion"] = sql(
     "predictions board",
     " UNION ALL ".join(

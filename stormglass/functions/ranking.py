@@ -29,14 +29,3 @@ def with_position(df: DataFrame, order: list[Column], name: str = "rank") -> Dat
         .withColumn(name, (F.col("_before") + place + 1).cast("long"))
         .drop("_slot", "_part", "_before")
     )
-
-
-def exact_median(df: DataFrame, value: str, unique: str) -> Column:
-    """Scalar: interpolated median of a column over any number of rows."""
-    present = df.where(F.col(value).isNotNull()).select(value, unique)
-    placed = with_position(present, [F.col(value).asc(), F.col(unique).asc()], "_position")
-    middle = placed.agg(F.count(F.lit(1)).alias("n")).select(
-        F.struct(F.floor((F.col("n") + 1) / 2).alias("lo"), F.ceil((F.col("n") + 1) / 2).alias("hi"))
-    ).scalar()
-    near = F.col("_position").isin(middle.getField("lo"), middle.getField("hi"))
-    return placed.where(near).agg(F.avg(value)).scalar()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormglass.config import Profile
 from stormglass.functions import rolling as R
 from stormglass.functions import values as V
-from stormglass.functions.ranking import exact_median
+from stormglass.functions.medians import medians
 from stormglass.functions.staging import staged
 from stormglass.operators.stats import asset_regime_mean, return_ranking
 
@@ -103,10 +103,11 @@ def quadrants(risk: DataFrame, profile: Profile) -> DataFrame:
         ),
         "risk",
     )
+    middle = medians(percent, [], ["vol_pct", "dd_pct"])
     placed = percent.withColumns(
         {
-            "vol_median": exact_median(percent, "vol_pct", "asset"),
-            "dd_median": exact_median(percent, "dd_pct", "asset"),
+            "vol_median": middle.select("vol_pct").scalar(),
+            "dd_median": middle.select("dd_pct").scalar(),
         }
     )
     return placed.withColumns(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stormglass.functions import values as V
+from stormglass.functions.medians import medians
 from stormglass.functions.staging import fresh_path, staged
 from stormglass.operators import boosting as BO
 from stormglass.operators import breadth as B
@@ -1055,6 +1056,13 @@ def importance_facts(spark, folder):
     )
 
 
+@query
+def grouped_medians(spark, folder):
+    """Exact medians of order lines per status: few groups that each hold a large share of all rows."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    return medians(lines, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_discount"], held=4096)
+
+
 @query
 def best_confusion(spark, folder):
     """Confusion matrix of the rule with the best F1."""
