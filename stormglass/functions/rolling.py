@@ -61,23 +61,6 @@ def rolling_correlation(x: Column, y: Column, w: WindowSpec, n: int) -> Column:
     return F.when(F.count(x_paired).over(frame) == n, value)
 
 
-def in_pieces(df: DataFrame, keys: list[str], longest: int, rows: int = 512) -> DataFrame:
-    """Cut each series into pieces that can be windowed side by side.
-
-    Every row goes to its home piece, and as lead-in to the next ones whose first frames of up to
-    ``longest`` rows still reach it. Window by (keys, ``_piece``) and keep the rows where ``_piece``
-    equals ``_home``: each of them has seen its whole frame. Sliding frames cost computation rather
-    than bytes, so the partition count is fixed and not merged by size.
-    """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("date")) - 1
-    numbered = df.withColumn("_place", place)
-    home = F.floor(F.col("_place") / rows)
-    last = F.floor((F.col("_place") + longest - 1) / rows)
-    cut = numbered.withColumn("_home", home).withColumn("_piece", F.explode(F.sequence(home, last)))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.drop("_place").repartition(partitions, *keys, "_piece")
-
-
 def compounded(returns: Column, w: WindowSpec) -> Column:
     """Running product of 1 + r, a null return counting as 0."""
     return F.product(1 + F.coalesce(returns, F.lit(0.0))).over(upto(w))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stormglass.functions import rolling as R
 from stormglass.functions import values as V
 
-DIRECT = 128  # rows up to which Spark's sliding frames are used: they are the cheaper ones there
+DIRECT = 64  # rows up to which Spark's sliding frames are used: they are the cheaper ones there
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,8 @@ def with_frames(
     for n in lengths:
         df = df.withColumn(f"_block_{n}", F.floor(F.col("_place") / n))
         block = Window.partitionBy(*keys, f"_block_{n}")
-        for direction, by in (("old", F.col(order).desc()), ("new", F.col(order).asc())):
+        # Ascending first: Spark would move an ascending window past the look back below and sort once more.
+        for direction, by in (("new", F.col(order).asc()), ("old", F.col(order).desc())):
             running = R.upto(block.orderBy(by))
             df = df.withColumns(
                 {f"_{direction}_{name}": _summary(f, running) for name, f in long.items() if f.n == n}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stormglass.config import Profile, Series
 from stormglass.functions import rolling as R
+from stormglass.functions.sliding import Frame, with_frames
 from stormglass.functions.staging import broadcast_days
 
 
@@ -86,8 +87,7 @@ def pair_correlations(
     """Rolling correlation of the candidate with other series: date and one named column per frame.
 
     Frames count rows of the union calendar (dates with any return) or, with ``pair``, of the dates
-    both series have. The pairs are laid out below each other and cut into pieces, so that they are
-    computed side by side.
+    both series have. The pairs are laid out below each other and take linear time at any length.
     """
     if calendar not in ("union", "pair"):
         raise ValueError(f"unknown calendar {calendar!r}")
@@ -106,12 +106,8 @@ def pair_correlations(
         )
     long = dates.where("any_return").select("date", F.inline(F.array(*pairs)))
     lengths = sorted({n for names in windows.values() for n in names})
-    pieces = R.in_pieces(long, ["pair", "counted"], lengths[-1])
-    w = Window.partitionBy("pair", "counted", "_piece").orderBy("date")
-    values = [
-        R.rolling_correlation(F.col("x"), F.col("y"), w, n).alias(f"_{n}") for n in lengths
-    ]
-    done = pieces.select("date", "pair", "_home", "_piece", *values).where("_home = _piece")
+    frames = {f"_{n}": Frame("correlation", n, "x", "y") for n in lengths}
+    done = with_frames(long, ["pair", "counted"], frames, direct_up_to=0)
     return done.groupBy("date").agg(
         *[
             F.max(F.when(F.col("pair") == other.label, F.col(f"_{n}"))).alias(name)

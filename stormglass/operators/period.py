@@ -9,6 +9,7 @@ from stormglass.config import Profile
 from stormglass.functions import rolling as R
 from stormglass.functions import values as V
 from stormglass.functions.medians import medians
+from stormglass.functions.sliding import Frame, with_frames
 from stormglass.functions.staging import staged
 from stormglass.operators.stats import asset_regime_mean, return_ranking
 
@@ -60,10 +61,8 @@ def period_panel(panel: DataFrame, start: str, end: str, window: int) -> DataFra
             "period_drawdown": R.drawdown(price, w),
         }
     )
-    volatility = R.rolling(
-        F.stddev_samp, F.col("period_return"), w, window, at_least=max(5, window // 3)
-    )
-    return measured.withColumn("period_volatility", volatility).drop("_filled")
+    volatility = Frame("deviation", window, "period_return", at_least=max(5, window // 3))
+    return with_frames(measured.drop("_filled"), ["asset"], {"period_volatility": volatility})
 
 
 def rebased(period: DataFrame) -> DataFrame:

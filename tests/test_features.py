@@ -79,24 +79,6 @@ def test_correlation_equals_pandas(spark):
     pd.testing.assert_series_equal(mine, expected, check_names=False)
 
 
-def test_pieces_hold_whole_frames(spark):
-    from pyspark.sql import Window
-
-    from stormglass.functions import rolling as R
-
-    rows = [(k, d, float((i * 37) % 11)) for k in ("a", "b") for i, d in enumerate(days(101))]
-    df = spark.createDataFrame(rows, "k string, date date, v double")
-    frame = lambda *keys: R.rolling(
-        F.sum, F.col("v"), Window.partitionBy(*keys).orderBy("date"), 25
-    ).alias("s")
-    want = df.select("k", "date", frame("k"))
-    cut = R.in_pieces(df, ["k"], longest=25, rows=10).select(
-        "k", "date", "_home", "_piece", frame("k", "_piece")
-    )
-    got = cut.where("_home = _piece").select("k", "date", "s")
-    assert got.count() == 202 and got.exceptAll(want).isEmpty()
-
-
 def test_month_start_on_a_missing_date(spark):
     dates = spark.createDataFrame([(date(2020, 1, d),) for d in (1, 2, 6)], "date date")
     wide = spark.createDataFrame(

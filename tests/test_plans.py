@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,11 +25,18 @@ def plan(df):
 
 def test_features_share_one_shuffle_and_sort(spark):
     bars = catalog.staged(WH.panel(spark, SMALL), "panel")
-    text = plan(asset_features(bars, W))
+    text = plan(asset_features(bars, replace(W, moving_averages=(20, 50))))
     assert text.count("Exchange hashpartitioning") == 1
     assert len(re.findall(r"\bSort \[", text)) == 1
 
 
+def test_a_long_frame_adds_sorts_but_no_shuffle(spark):
+    bars = catalog.staged(WH.panel(spark, SMALL), "panel")
+    text = plan(asset_features(bars, replace(W, moving_averages=(20, 50, 200))))
+    assert text.count("Exchange hashpartitioning") == 1
+    assert len(re.findall(r"\bSort \[", text)) <= 4
+
+
 def test_unused_features_are_pruned(spark):
     bars = catalog.staged(WH.panel(spark, SMALL), "panel")
     text = plan(asset_features(bars, W).select("asset", "date", "daily_return"))
