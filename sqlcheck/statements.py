@@ -788,6 +788,12 @@ SQL["importance_facts"] = sql(
 )
 _medians = ", ".join(f"{rnd(f'median(CAST({c} AS DOUBLE))')} AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount"))
 SQL["grouped_medians"] = f"SELECT l_returnflag, l_linestatus, {_medians} FROM lineitem GROUP BY l_returnflag, l_linestatus"
+SQL["instants_in_intervals"] = f"""WITH errors AS (
+    SELECT event_id AS error_id, ts AS opened, CASE WHEN ts < max(ts) OVER (PARTITION BY user_id)
+      THEN ts + to_minutes(CAST(floor(value) AS INTEGER)) ELSE TIMESTAMP '9999-01-01' END AS closed
+    FROM events WHERE event_type = 'error')
+  SELECT error_id, count(*) AS events, {rnd('sum(value)')} AS value, max(event_id) AS last_event_id
+  FROM errors JOIN events ON ts >= opened AND ts <= closed GROUP BY error_id"""
 SQL["best_confusion"] = sql(
     "predictions board",
     " UNION ALL ".join(

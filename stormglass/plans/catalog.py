@@ -29,6 +29,7 @@ from stormglass.operators import quality as Q
 from stormglass.operators import score as SC
 from stormglass.operators import stats as ST
 from stormglass.operators.features import asset_features, feature_columns
+from stormglass.operators.intervals import interval_join
 from stormglass.plans import workspace as W
 from stormglass.plans.storage import storage_profile
 from stormglass.sources import dimensions as D
@@ -1063,6 +1064,22 @@ def grouped_medians(spark, folder):
     return medians(lines, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_discount"], held=4096)
 
 
+@query
+def instants_in_intervals(spark, folder):
+    """Events inside the time that every error stays open: minutes by its value, each user's last one without end."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    errors = events.where("event_type = 'error'")
+    last = errors.groupBy("user_id").agg(F.max("ts").alias("_last"))
+    closed = F.when(F.col("ts") < F.col("_last"), F.expr("ts + make_dt_interval(0, 0, CAST(floor(value) AS INT))"))
+    open_times = errors.join(last, "user_id").select(
+        F.col("event_id").alias("error_id"), F.col("ts").alias("opened"), closed.alias("closed")
+    )
+    points = events.select("event_id", "ts", "value")
+    return interval_join(points, open_times, "ts", "opened", "closed").groupBy("error_id").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"), F.max("event_id").alias("last_event_id")
+    )
+
+
 @query
 def best_confusion(spark, folder):
     """Confusion matrix of the rule with the best F1."""
