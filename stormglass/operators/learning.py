@@ -1,7 +1,8 @@
 """Leakage-safe classification of the success target with Spark ML.
 
 The training table holds one series' days, at most ``CALENDAR_DAYS`` rows, so windows over the whole
-table are fine here. Imputation and scaling are fitted per training fold with plain aggregates.
+table are fine here. Imputation and scaling are fitted per training fold from one summary per time block, so no
+statistic reads a row once per fold.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from stormglass.operators.calendar import with_macro_aliases
 
 MIN_ROWS = 50
 MAX_FOLDS = 5
+MAX_ROLES = MAX_FOLDS * (MAX_FOLDS + 3) // 2
 SEED = 42  # fixed value
 MAX_DEPTH = 30  # the most levels that Spark's trees can have; the inventory's trees have no limit
 MAX_BINS = 256  # split candidates per feature; the inventory's trees try every value
@@ -107,27 +109,36 @@ def missing_report(table: DataFrame) -> DataFrame:
     return row.select(F.inline("report"))
 
 
-def time_folds(table: DataFrame) -> DataFrame:
-    """Rows once per fold they belong to, with their role: expanding train, then the next test block."""
+def time_blocks(table: DataFrame) -> DataFrame:
+    """Every row once with its time ``block`` and the number of ``folds``.
+
+    Fold f trains on the blocks up to f and is tested on block f + 1. The blocks have equal length but for
+    the first, which takes what division leaves; a table too short for that is one block.
+    """
     order = Window.orderBy("date")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n, k = F.col("_n"), F.col("_k")
+    n, k, size = F.col("_n"), F.col("folds"), F.col("_size")
     numbered = table.withColumns(
         {"_row": F.row_number().over(order), "_n": F.count(F.lit(1)).over(everything)}
     )
-    sized = numbered.withColumn(
-        "_k", F.least(F.lit(MAX_FOLDS), F.greatest(F.lit(2), F.floor(n / 30))).cast("int")
-    ).withColumn("_block", F.floor(n / (k + 1)).cast("int"))
-    folded = sized.withColumn("fold", F.explode(F.sequence(F.lit(1), k)))
-    start = n - (k - F.col("fold") + 1) * F.col("_block")
-    role = F.when(F.col("_row") <= start, "train").when(
-        F.col("_row") <= start + F.col("_block"), "test"
-    )
-    return (
-        folded.withColumn("role", role)
-        .where(F.col("role").isNotNull())
-        .drop("_row", "_n", "_k", "_block")
-    )
+    folds = F.least(F.lit(MAX_FOLDS), F.greatest(F.lit(2), F.floor(n / 30))).cast("int")
+    sized = numbered.withColumn("folds", folds).withColumn("_size", F.floor(n / (k + 1)).cast("int"))
+    later = F.ceil(V.ratio(F.col("_row") - (n - k * size), size))
+    block = F.coalesce(F.greatest(F.lit(0), later), F.lit(0)) + 1
+    return sized.withColumn("block", block.cast("int")).drop("_row", "_n", "_size")
+
+
+def fold_roles(blocks: DataFrame) -> DataFrame:
+    """(fold, block, role) of every fold, at most ``MAX_ROLES`` rows."""
+    fold = blocks.agg(F.max("folds").alias("k")).select(F.explode(F.sequence(F.lit(1), "k")).alias("fold"))
+    pairs = fold.select("fold", F.explode(F.sequence(F.lit(1), F.col("fold") + 1)).alias("block"))
+    return pairs.withColumn("role", F.when(F.col("block") <= F.col("fold"), "train").otherwise("test"))
+
+
+def time_folds(table: DataFrame) -> DataFrame:
+    """Rows once per fold they belong to, with their role: expanding train, then the next test block."""
+    blocks = time_blocks(table)
+    return blocks.join(broadcast_list(fold_roles(blocks), MAX_ROLES), "block").drop("block", "folds")
 
 
 def fold_sizes(folds: DataFrame) -> DataFrame:
@@ -137,47 +148,139 @@ def fold_sizes(folds: DataFrame) -> DataFrame:
     )
 
 
-def _fold_values(folds: DataFrame, aggregate: Callable[[str], Column], names, suffix) -> DataFrame:
-    values = folds.where("role = 'train'").groupBy("fold").agg(
-        *[aggregate(c).alias(f"{c}{suffix}") for c in names]
+def fold_medians(blocks: DataFrame) -> DataFrame:
+    """(fold, feature, median) over the known values of each fold's training blocks; null without any.
+
+    Every value is counted once per block it stands in; the counts of a fold are those of its blocks, and
+    running counts in the order of the values find the middle of all folds in one sort per feature.
+    """
+    names, folds = feature_names(blocks), range(1, MAX_FOLDS + 1)
+    counts = (
+        blocks.unpivot(["block"], names, "feature", "value")
+        .groupBy("feature", "value")
+        .agg(*[F.count_if(F.col("value").isNotNull() & (F.col("block") <= f)).alias(f"n{f}") for f in folds])
+    )
+    order = Window.partitionBy("feature").orderBy("value")
+    whole = Window.partitionBy("feature")
+    running = counts.select(
+        "feature",
+        "value",
+        *[F.sum(f"n{f}").over(order).alias(f"upto{f}") for f in folds],
+        *[F.sum(f"n{f}").over(whole).alias(f"all{f}") for f in folds],
     )
-    return broadcast_list(values, MAX_FOLDS)
 
+    def at(f: int, rank: Column) -> Column:
+        return F.min(F.when((F.col(f"all{f}") > 0) & (F.col(f"upto{f}") >= rank), F.col("value")))
 
-def imputed(folds: DataFrame) -> DataFrame:
-    """Missing values become the training fold's median; a feature without any value becomes 0."""
-    names = feature_names(folds)
-    medians = _fold_values(folds, F.median, names, "_median")
-    filled = {c: F.coalesce(F.col(c), F.col(f"{c}_median"), F.lit(0.0)) for c in names}
-    return (
-        folds.join(medians, "fold").withColumns(filled).drop(*[f"{c}_median" for c in names])
+    middles = running.groupBy("feature").agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(f).alias("fold"),
+                    (at(f, F.floor((F.col(f"all{f}") + 1) / 2)) / 2 + at(f, F.floor((F.col(f"all{f}") + 2) / 2)) / 2).alias("median"),
+                )
+                for f in folds
+            ]
+        ).alias("middles")
     )
+    return middles.select("feature", F.inline("middles"))
+
+
+def block_summaries(blocks: DataFrame) -> DataFrame:
+    """(feature, parts): per block rows, known values, their mean, squares about it, least and greatest."""
+    names = feature_names(blocks)
+    row = blocks.groupBy("block").agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("feature"),
+                    F.count(F.lit(1)).alias("rows"),
+                    F.count(c).alias("n"),
+                    F.avg(c).alias("mean"),
+                    (F.var_pop(c) * F.count(c)).alias("squares"),
+                    F.min(c).alias("least"),
+                    F.max(c).alias("greatest"),
+                )
+                for c in names
+            ]
+        ).alias("features")
+    )
+    long = row.select("block", F.inline("features"))
+    part = F.struct("block", "rows", "n", "mean", "squares", "least", "greatest")
+    return long.groupBy("feature").agg(F.collect_list(part).alias("parts"))
+
+
+def fold_parameters(blocks: DataFrame) -> DataFrame:
+    """(fold, feature, fill, mean, spread): the training median and the moments of the imputed training values.
+
+    The moments are merged from the summaries of the training blocks and of the filled cells, which all hold
+    the median, so no training row is read again. A feature without any value is filled with 0; the spread
+    of a constant feature is exactly 0.
+    """
+    joined = fold_medians(blocks).join(broadcast_list(block_summaries(blocks), len(feature_names(blocks))), "feature")
+    mine = F.filter("parts", lambda p: p["block"] <= F.col("fold"))
+    total = lambda array, value: F.aggregate(array, F.lit(0.0), lambda acc, p: acc + value(p))
+    filled = joined.select("feature", "fold", F.coalesce("median", F.lit(0.0)).alias("fill"), mine.alias("parts"))
+    empty = total("parts", lambda p: p["rows"] - p["n"])
+    # A block without known values has no mean; it counts only among the filled cells.
+    seen = F.filter("parts", lambda p: p["n"] > 0)
+    rows = total("parts", lambda p: p["rows"])
+    level = V.ratio(total(seen, lambda p: p["n"] * p["mean"]) + empty * F.col("fill"), rows)
+    sized = filled.select("*", empty.alias("empty"), seen.alias("seen"), rows.alias("rows"), level.alias("level"))
+    apart = lambda value: (value - F.col("level")) * (value - F.col("level"))
+    squares = total("seen", lambda p: p["squares"] + p["n"] * apart(p["mean"])) + F.col("empty") * apart(F.col("fill"))
+    flat = F.coalesce(
+        F.array_min(F.transform("seen", lambda p: p["least"])) == F.array_max(F.transform("seen", lambda p: p["greatest"])),
+        F.lit(True),
+    )
+    return sized.where("rows > 0").select(
+        "fold",
+        "feature",
+        "fill",
+        F.when(flat, F.col("fill")).otherwise(F.col("level")).alias("mean"),
+        F.when(flat, 0.0).otherwise(F.sqrt(V.ratio(squares, F.col("rows")))).alias("spread"),
+    )
+
+
+def _laid_out(blocks: DataFrame, value: Callable[[str], Column]) -> DataFrame:
+    """Rows once per fold; ``value`` gives a feature's cell from the fold's parameters."""
+    names = feature_names(blocks)
+    of = lambda c: F.max(F.when(F.col("feature") == c, F.struct("fill", "mean", "spread")))
+    wide = fold_parameters(blocks).groupBy("fold").agg(*[of(c).alias(f"_{c}") for c in names])
+    roles = broadcast_list(fold_roles(blocks).join(wide, "fold"), MAX_ROLES)
+    laid = blocks.join(roles, "block").withColumns({c: value(c) for c in names})
+    return laid.drop("block", "folds", *[f"_{c}" for c in names])
+
+
+def _filled(c: str) -> Column:
+    return F.coalesce(F.col(c), F.col(f"_{c}")["fill"])
+
+
+def _scaled(c: str) -> Column:
+    spread = F.col(f"_{c}")["spread"]
+    return (_filled(c) - F.col(f"_{c}")["mean"]) / F.when(spread > 0, spread).otherwise(1.0)
+
+
+def imputed(blocks: DataFrame) -> DataFrame:
+    """Missing values become the training fold's median; a feature without any value becomes 0."""
+    return _laid_out(blocks, _filled)
 
 
-def standardized(folds: DataFrame) -> DataFrame:
-    """Training fold mean 0 and population deviation 1; a constant feature is only centred."""
-    names = feature_names(folds)
-    means = _fold_values(folds, F.avg, names, "_mean")
-    spreads = _fold_values(folds, F.stddev_pop, names, "_std")
-    scaled = {}
-    for c in names:
-        spread = F.when(F.col(f"{c}_std") > 0, F.col(f"{c}_std")).otherwise(1.0)
-        scaled[c] = (F.col(c) - F.col(f"{c}_mean")) / spread
-    helpers = [f"{c}{s}" for c in names for s in ("_mean", "_std")]
-    return folds.join(means, "fold").join(spreads, "fold").withColumns(scaled).drop(*helpers)
+def standardized(blocks: DataFrame) -> DataFrame:
+    """Imputed, then training fold mean 0 and population deviation 1; a constant feature is only centred."""
+    return _laid_out(blocks, _scaled)
 
 
 def prepared_folds(table: DataFrame) -> DataFrame:
     """Folded, imputed and scaled rows with a feature vector, written once."""
-    ready = standardized(staged(imputed(time_folds(table)), "imputed"))
+    ready = standardized(staged(time_blocks(table), "blocks"))
     vector = VectorAssembler(inputCols=feature_names(table), outputCol="features")
     return staged(vector.transform(ready).select("fold", "role", "date", "label", "features"), "folds")
 
 
 def whole_sample(table: DataFrame) -> DataFrame:
     """All rows as one training fold, imputed, scaled and assembled."""
-    one = table.withColumns({"fold": F.lit(1), "role": F.lit("train")})
-    ready = standardized(staged(imputed(one), "imputed"))
+    ready = standardized(table.withColumns({"block": F.lit(1), "folds": F.lit(1)}))
     vector = VectorAssembler(inputCols=feature_names(table), outputCol="features")
     return staged(vector.transform(ready).select("date", "label", "features"), "sample")
 

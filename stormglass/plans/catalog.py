@@ -922,13 +922,13 @@ def missing_report(spark, folder):
 @query
 def fold_imputed(spark, folder):
     """Median-imputed rows of every fold."""
-    return M.imputed(M.time_folds(training(spark, folder)))
+    return M.imputed(staged(M.time_blocks(training(spark, folder)), "blocks"))
 
 
 @query
 def fold_standardized(spark, folder):
     """Imputed and scaled rows of every fold."""
-    return M.standardized(staged(M.imputed(M.time_folds(training(spark, folder))), "imputed"))
+    return M.standardized(staged(M.time_blocks(training(spark, folder)), "blocks"))
 
 
 @query

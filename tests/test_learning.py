@@ -40,16 +40,71 @@ def test_folds_never_look_ahead(spark):
 
 
 def test_imputation_and_scaling(spark):
-    folds = M.time_folds(table(spark, 120))
-    filled = M.imputed(folds)
+    blocks = M.time_blocks(table(spark, 120))
+    filled = M.imputed(blocks)
     assert filled.where("a_lag1 IS NULL OR b_lag1 IS NULL").count() == 0
     assert filled.agg(F.max(F.abs("b_lag1"))).first()[0] == 0.0
-    train = M.standardized(filled).where("role = 'train'").groupBy("fold")
+    train = M.standardized(blocks).where("role = 'train'").groupBy("fold")
     for r in train.agg(F.avg("a_lag1").alias("m"), F.stddev_pop("a_lag1").alias("s"),
                        F.max(F.abs("c_lag1")).alias("c")).collect():
         assert r["m"] == pytest.approx(0, abs=1e-9) and r["s"] == pytest.approx(1) and r["c"] == 0.0
 
 
+def _plain_folds(rows):
+    """(fold, role, rows) by slicing the sorted list."""
+    n = len(rows)
+    k = min(5, max(2, n // 30))
+    size = n // (k + 1)
+    for fold in range(1, k + 1):
+        start = n - (k - fold + 1) * size
+        yield fold, rows[:start], rows[start : start + size]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 61, 120, 200])
+def test_parameters_from_blocks_equal_those_of_plain_folds(spark, n):
+    rng = random.Random(n)
+    late = (n * 2) // 3  # "late" has no value in the first folds, "tied" has few values, "flat" one that is not binary
+    rows = [
+        (d, i % 2, rng.gauss(1e6, 1e-3) if i % 5 else None, rng.choice([-1.0, 0.0, 0.5, None]), 0.1 if i % 3 else None,
+         rng.random() if i >= late else None)
+        for i, d in enumerate(days(n, date(2000, 1, 1)))
+    ]
+    data = spark.createDataFrame(
+        rows, "date date, label int, wide_lag1 double, tied_lag1 double, flat_lag1 double, late_lag1 double"
+    )
+    blocks = M.time_blocks(data)
+    names = M.feature_names(data)
+    got = {(r["fold"], r["role"], r["date"]): [r[c] for c in names] for r in M.imputed(blocks).collect()}
+    scaled = {(r["fold"], r["role"], r["date"]): [r[c] for c in names] for r in M.standardized(blocks).collect()}
+    want, want_scaled = {}, {}
+    for fold, train, test in _plain_folds(rows):
+        for j in range(len(names)):
+            known = [r[2 + j] for r in train if r[2 + j] is not None]
+            fill = float(np.median(known)) if known else 0.0
+            cells = [fill if r[2 + j] is None else r[2 + j] for r in train]
+            flat = len(set(cells)) < 2
+            mean, spread = (cells[0], 1.0) if flat and cells else (np.mean(cells or [0.0]), np.std(cells or [0.0]) or 1.0)
+            for role, part in (("train", train), ("test", test)):
+                for r in part:
+                    cell = fill if r[2 + j] is None else r[2 + j]
+                    want.setdefault((fold, role, r[0]), []).append(cell)
+                    want_scaled.setdefault((fold, role, r[0]), []).append((cell - mean) / spread)
+    assert got.keys() == want.keys() == scaled.keys()
+    for key in want:
+        assert got[key] == pytest.approx(want[key], rel=1e-15), key
+        assert scaled[key] == pytest.approx(want_scaled[key], rel=1e-5, abs=1e-6), key
+        assert n < 61 or scaled[key][2] == 0.0  # shorter tables begin with a fold without a known value
+
+
+def test_fold_statistics_do_not_repeat_rows(spark):
+    data = table(spark, 120)
+    plan = M.standardized(M.time_blocks(data))._jdf.queryExecution().optimizedPlan().toString()
+    grown = [line for line in plan.splitlines() if "Generate" in line]
+    assert grown and all("sequence(1," in line or "inline" in line for line in grown)
+    assert not any("a_lag1" in line and "explode" in line for line in grown)
+    assert M.fold_parameters(M.time_blocks(data)).count() == 3 * 3
+
+
 def predictions(spark, rows):
     return spark.createDataFrame(rows, "model string, fold int, label int, prediction int, score double")
 
