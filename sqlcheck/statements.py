@@ -684,6 +684,10 @@ SQL["pipeline_metadata"] = sql(
     + " ".join(f"UNION ALL SELECT '{m}', 'true'" for m in (*_measured, "spark_partition_write_sec")),
 )
 
+# Reports cut from one pass hold the rows of the reports that read the panel themselves.
+for _name in ("stats_per_asset", "risk_detail", "return_ranking", "market_breadth"):
+    SQL[f"one_pass_{_name}"] = SQL[_name]
+
 # Learning
 
 _lags = tuple(f"~{c}" for c in LAGS)

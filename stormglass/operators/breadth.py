@@ -31,7 +31,8 @@ def _per_asset(rows: DataFrame, ret: str, fall: str) -> DataFrame:
     )
 
 
-def _summary(per_asset: DataFrame, profile: Profile, strict_decline: bool) -> DataFrame:
+def breadth_of(per_asset: DataFrame, profile: Profile, strict_decline: bool) -> DataFrame:
+    """Breadth from (asset, mean_return, max_drawdown); without ``strict_decline`` a missing mean declines."""
     per_asset = staged(per_asset, "breadth")
     is_benchmark = F.col("asset") == profile.benchmark.asset
     benchmark = (
@@ -66,14 +67,13 @@ def _summary(per_asset: DataFrame, profile: Profile, strict_decline: bool) -> Da
 def market_breadth(labelled: DataFrame, profile: Profile) -> DataFrame:
     """Assets without any return count as declining."""
     rows = _per_asset(labelled.where(is_crisis()), "daily_return", "drawdown")
-    return _summary(rows, profile, strict_decline=False)
+    return breadth_of(rows, profile, strict_decline=False)
 
 
-def breadth_by_group(labelled: DataFrame) -> DataFrame:
-    """An asset without any return is neither advancing nor declining."""
-    rows = _per_asset(labelled.where(is_crisis()), "daily_return", "drawdown")
+def group_breadth_of(per_asset: DataFrame) -> DataFrame:
+    """Breadth per group from (asset, group, mean_return)."""
     counts = (
-        rows.where(F.col("group").isNotNull())
+        per_asset.where(F.col("group").isNotNull())
         .groupBy("group")
         .agg(
             F.count(F.lit(1)).alias("total"),
@@ -84,6 +84,11 @@ def breadth_by_group(labelled: DataFrame) -> DataFrame:
     return counts.withColumn("pct_positive", V.percent(F.col("advance"), F.col("total")))
 
 
+def breadth_by_group(labelled: DataFrame) -> DataFrame:
+    """An asset without any return is neither advancing nor declining."""
+    return group_breadth_of(_per_asset(labelled.where(is_crisis()), "daily_return", "drawdown"))
+
+
 def _crisis_returns(period: DataFrame) -> DataFrame:
     return period.where(is_crisis() & F.col("period_return").isNotNull())
 
@@ -91,7 +96,7 @@ def _crisis_returns(period: DataFrame) -> DataFrame:
 def period_breadth(period: DataFrame, profile: Profile) -> DataFrame:
     """Same over a period panel; only a mean of 0 or less counts as declining."""
     rows = _per_asset(_crisis_returns(period), "period_return", "period_drawdown")
-    return _summary(rows, profile, strict_decline=True)
+    return breadth_of(rows, profile, strict_decline=True)
 
 
 def period_breadth_by_group(period: DataFrame) -> DataFrame:

@@ -42,8 +42,11 @@ def in_events(
     return inside.join(broadcast_list(days, length), "date")
 
 
-def stats_per_event(labelled: DataFrame, events: Iterable[Event]) -> DataFrame:
-    """Per (event, asset) with at least one return. The total return uses the adjusted close alone."""
+def event_summary(labelled: DataFrame, events: Iterable[Event]) -> DataFrame:
+    """Per (event, asset): rows, days with a return and their statistics.
+
+    The total return uses the adjusted close alone.
+    """
     ret, price = F.col("daily_return"), F.col("adj_close")
     priced_day = F.when(price.isNotNull(), F.col("date"))
     total = V.ratio(F.max_by(price, priced_day), F.min_by(price, priced_day)) - 1
@@ -51,6 +54,7 @@ def stats_per_event(labelled: DataFrame, events: Iterable[Event]) -> DataFrame:
         in_events(labelled, events)
         .groupBy("crisis_name", "start_date", "end_date", "asset")
         .agg(
+            F.count(F.lit(1)).alias("rows"),
             F.count(ret).alias("trading_days"),
             F.avg(ret).alias("mean_daily_return"),
             F.when(F.count(price) >= 2, total).alias("total_return"),
@@ -58,10 +62,19 @@ def stats_per_event(labelled: DataFrame, events: Iterable[Event]) -> DataFrame:
             F.min("drawdown").alias("max_drawdown"),
             V.share(ret > 0).alias("hit_rate"),
         )
-        .where(F.col("trading_days") > 0)
     )
 
 
+def with_returns(summary: DataFrame) -> DataFrame:
+    """The rows of ``event_summary`` that have a return."""
+    return summary.where(F.col("trading_days") > 0).drop("rows")
+
+
+def stats_per_event(labelled: DataFrame, events: Iterable[Event]) -> DataFrame:
+    """Per (event, asset) with at least one return."""
+    return with_returns(event_summary(labelled, events))
+
+
 def rebased_prices(panel: DataFrame, events: Iterable[Event], before: int = 30, after: int = 10):
     """Adjusted close as percent of the first row of each widened event window, even if that is empty."""
     w = Window.partitionBy("crisis_name", "asset").orderBy("date")
@@ -120,30 +133,34 @@ def event_comparison(performance: DataFrame, profile: Profile) -> DataFrame:
     return pair.withColumn("verdict", _protection(F.col("candidate_pct"), F.col("benchmark_pct")))
 
 
-def overall_verdict(labelled: DataFrame, profile: Profile) -> DataFrame:
-    """Mean crisis returns of candidate and benchmark with a verdict; no row without the candidate."""
-    ret, asset = F.col("daily_return"), F.col("asset")
-    mine, theirs = asset == profile.candidate.asset, asset == profile.benchmark.asset
-    means = (
-        labelled.where(is_crisis() & (mine | theirs))
-        .agg(
-            F.count_if(mine).alias("_candidate_rows"),
-            F.count_if(theirs).alias("_benchmark_rows"),
-            F.avg(F.when(mine, ret)).alias("candidate_mean"),
-            F.avg(F.when(theirs, ret)).alias("_benchmark_mean"),
-        )
-        .where("_candidate_rows > 0")
-        .withColumn(
-            "benchmark_mean", F.when(F.col("_benchmark_rows") == 0, 0.0).otherwise(F.col("_benchmark_mean"))
-        )
+def pair_of(profile: Profile, rows: Column, mean: Column) -> list[Column]:
+    """Aggregates over one row per asset: candidate rows and mean, benchmark mean (0 without its rows)."""
+    mine, theirs = F.col("asset") == profile.candidate.asset, F.col("asset") == profile.benchmark.asset
+    found = F.coalesce(F.max(F.when(theirs, rows)), F.lit(0)) > 0
+    return [
+        F.coalesce(F.max(F.when(mine, rows)), F.lit(0)).alias("_candidate_rows"),
+        F.max(F.when(mine, mean)).alias("candidate_mean"),
+        F.when(found, F.max(F.when(theirs, mean))).otherwise(0.0).alias("benchmark_mean"),
+    ]
+
+
+def _means(rows: DataFrame, profile: Profile, *keys: str) -> DataFrame:
+    """Rows and mean return of candidate and benchmark."""
+    pair = rows.where(F.col("asset").isin(profile.candidate.asset, profile.benchmark.asset))
+    return pair.groupBy(*keys, "asset").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("daily_return").alias("mean_daily_return")
     )
+
+
+def overall_text(means: DataFrame, profile: Profile) -> DataFrame:
+    """Verdict from one row of ``pair_of``; none without candidate rows."""
     c, b = F.col("candidate_mean"), F.col("benchmark_mean")
     status = F.when((c > 0) & (c > b), "good").when(c > b, "medium").otherwise("failed")
     body = F.concat(
         F.lit("Mean daily return = "), V.percent_text(c, 4),
         F.lit(f" ({profile.benchmark.label} = "), V.percent_text(b, 4), F.lit("), status "), status,
     )
-    return means.select(
+    return means.where("_candidate_rows > 0").select(
         F.lit("overall").alias("category"),
         F.lit("Candidate in all crises").alias("title"),
         body.alias("body"),
@@ -151,21 +168,17 @@ def overall_verdict(labelled: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def event_verdicts(labelled: DataFrame, events: Iterable[Event], profile: Profile) -> DataFrame:
-    """Verdict per event in which the candidate has rows; without benchmark rows its mean counts as 0."""
-    ret, asset = F.col("daily_return"), F.col("asset")
-    mine, theirs = asset == profile.candidate.asset, asset == profile.benchmark.asset
-    means = (
-        in_events(labelled.where(mine | theirs), events)
-        .groupBy("crisis_name")
-        .agg(
-            F.count_if(mine).alias("_candidate_rows"),
-            F.avg(F.when(mine, ret)).alias("c"),
-            F.when(F.count_if(theirs) == 0, 0.0).otherwise(F.avg(F.when(theirs, ret))).alias("b"),
-        )
-        .where("_candidate_rows > 0")
-    )
-    c, b = F.col("c"), F.col("b")
+def overall_verdict(labelled: DataFrame, profile: Profile) -> DataFrame:
+    """Mean crisis returns of candidate and benchmark with a verdict; no row without the candidate."""
+    means = _means(labelled.where(is_crisis()), profile)
+    return overall_text(means.agg(*pair_of(profile, F.col("rows"), F.col("mean_daily_return"))), profile)
+
+
+def event_texts(summary: DataFrame, profile: Profile) -> DataFrame:
+    """Verdict per event from ``event_summary``; none without candidate rows."""
+    pair = pair_of(profile, F.col("rows"), F.col("mean_daily_return"))
+    means = summary.groupBy("crisis_name").agg(*pair).where("_candidate_rows > 0")
+    c, b = F.col("candidate_mean"), F.col("benchmark_mean")
     status = _protection(c, b)
     body = F.concat(
         F.lit("Candidate "), V.percent_text(c, 4, signed=True),
@@ -180,6 +193,12 @@ def event_verdicts(labelled: DataFrame, events: Iterable[Event], profile: Profil
     )
 
 
+def event_verdicts(labelled: DataFrame, events: Iterable[Event], profile: Profile) -> DataFrame:
+    """Verdict per event in which the candidate has rows; without benchmark rows its mean counts as 0."""
+    pair = labelled.where(F.col("asset").isin(profile.candidate.asset, profile.benchmark.asset))
+    return event_texts(_means(in_events(pair, events), profile, "crisis_name"), profile)
+
+
 def rank_insight(ranking: DataFrame, profile: Profile) -> DataFrame:
     """Position of the candidate in the score ranking; good up to rank 5."""
     places = ranking.agg(
@@ -199,7 +218,13 @@ def rank_insight(ranking: DataFrame, profile: Profile) -> DataFrame:
 
 def insights(labelled: DataFrame, ranking: DataFrame, profile: Profile) -> DataFrame:
     """All insight rows and the closing conclusion."""
-    conclusion = labelled.sparkSession.createDataFrame(
+    events = event_verdicts(labelled, profile.events, profile)
+    return all_insights(overall_verdict(labelled, profile), events, ranking, profile)
+
+
+def all_insights(overall: DataFrame, events: DataFrame, ranking: DataFrame, profile: Profile) -> DataFrame:
+    """Given verdicts, the candidate's rank and the closing conclusion."""
+    conclusion = ranking.sparkSession.createDataFrame(
         [
             (
                 "conclusion",
@@ -210,9 +235,4 @@ def insights(labelled: DataFrame, ranking: DataFrame, profile: Profile) -> DataF
         ],
         "category string, title string, body string, status string",
     )
-    return (
-        overall_verdict(labelled, profile)
-        .unionByName(event_verdicts(labelled, profile.events, profile))
-        .unionByName(rank_insight(ranking, profile))
-        .unionByName(conclusion)
-    )
+    return overall.unionByName(events).unionByName(rank_insight(ranking, profile)).unionByName(conclusion)

@@ -28,6 +28,7 @@ from stormglass.operators import portfolio as PF
 from stormglass.operators import quality as Q
 from stormglass.operators import score as SC
 from stormglass.operators import stats as ST
+from stormglass.operators import summary as SU
 from stormglass.operators.features import asset_features, feature_columns
 from stormglass.operators.intervals import interval_join
 from stormglass.plans import workspace as W
@@ -501,6 +502,32 @@ def failure_cases(spark, folder):
 # Statistics
 
 
+def one_pass(spark, folder) -> DataFrame:
+    """The per-asset summary that several reports are cut from, written once."""
+    columns = ["group", PROFILE.short_volatility, PROFILE.medium_volatility]
+    return staged(SU.asset_summary(labelled(spark, folder, columns), PROFILE), "asset-summary")
+
+
+@query
+def one_pass_stats_per_asset(spark, folder):
+    return SU.stats_per_asset(one_pass(spark, folder), PROFILE)
+
+
+@query
+def one_pass_risk_detail(spark, folder):
+    return SU.risk_detail(one_pass(spark, folder), PROFILE)
+
+
+@query
+def one_pass_return_ranking(spark, folder):
+    return SU.return_ranking(one_pass(spark, folder))
+
+
+@query
+def one_pass_market_breadth(spark, folder):
+    return SU.market_breadth(one_pass(spark, folder), PROFILE)
+
+
 @query
 def stats_per_asset(spark, folder):
     features = asset_features(WH.panel(spark, folder), PROFILE, [PROFILE.short_volatility])

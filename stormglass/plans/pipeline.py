@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from stormglass.config import MARKET, Profile
 from stormglass.functions.staging import release, staged, written_paths
-from stormglass.operators import breadth as B
 from stormglass.operators import calendar as C
 from stormglass.operators import clean as CL
 from stormglass.operators import events as E
@@ -22,7 +21,7 @@ from stormglass.operators import labels as L
 from stormglass.operators import learning as M
 from stormglass.operators import quality as Q
 from stormglass.operators import score as SC
-from stormglass.operators import stats as ST
+from stormglass.operators import summary as SU
 from stormglass.operators.features import asset_features
 from stormglass.plans.storage import storage_profile
 from stormglass.plans.workspace import Workspace, date_table
@@ -59,23 +58,35 @@ def label(
 
 
 def reports(labelled: DataFrame, dates: DataFrame, profile: Profile) -> dict[str, Callable[[], DataFrame]]:
-    """Every result table of the statistics step by name."""
-    ranking = staged(SC.safe_haven_score(labelled, profile), "score")
+    """Every result table of the statistics step by name.
+
+    The panel is read once for the moments of all assets, once for those of all events and once for the
+    score; the statistics are cut from these. Two more tables are a projection and a filter of the panel.
+    """
+    with ThreadPoolExecutor(3) as pool:  # three independent passes, submitted together
+        passes = [
+            pool.submit(lambda: staged(SC.safe_haven_score(labelled, profile), "score")),
+            pool.submit(lambda: staged(SU.asset_summary(labelled, profile), "asset-summary")),
+            pool.submit(lambda: staged(E.event_summary(labelled, profile.events), "event-summary")),
+        ]
+        ranking, assets, events = [task.result() for task in passes]
     shown = [c for c in profile.rolling_corr_columns]
     return {
-        "stats_per_asset": lambda: ST.stats_per_asset(labelled, profile),
-        "stats_per_crisis": lambda: E.stats_per_event(labelled, profile.events),
-        "stats_crisis_vs_normal": lambda: ST.regime_stats(labelled, profile),
-        "return_ranking": lambda: ST.return_ranking(labelled),
+        "stats_per_asset": lambda: SU.stats_per_asset(assets, profile),
+        "stats_per_crisis": lambda: E.with_returns(events),
+        "stats_crisis_vs_normal": lambda: SU.regime_stats(assets, profile),
+        "return_ranking": lambda: SU.return_ranking(assets),
         "safe_haven_score": lambda: ranking,
         "safe_haven_ranking": lambda: SC.rerank(ranking),
-        "market_breadth": lambda: B.market_breadth(labelled, profile),
-        "market_breadth_by_group": lambda: B.breadth_by_group(labelled),
+        "market_breadth": lambda: SU.market_breadth(assets, profile),
+        "market_breadth_by_group": lambda: SU.breadth_by_group(assets),
         "rolling_corr_multi": lambda: C.multi_window_correlations(dates, profile),
-        "risk_detail": lambda: ST.risk_detail(labelled, profile),
-        "bottom_line": lambda: E.insights(labelled, ranking, profile),
+        "risk_detail": lambda: SU.risk_detail(assets, profile),
+        "bottom_line": lambda: E.all_insights(
+            SU.overall_verdict(assets, profile), E.event_texts(events, profile), ranking, profile
+        ),
         "crisis_events": lambda: event_table(labelled.sparkSession, profile.events),
-        "asset_summary": lambda: ST.asset_regime_mean(labelled),
+        "asset_summary": lambda: SU.asset_regime_mean(assets),
         "crisis_label_summary": lambda: L.label_summary(dates, profile),
         "crisis_summary": lambda: L.crisis_daily(dates, profile),
         "failure_cases": lambda: L.failure_cases(labelled, profile),
@@ -83,7 +94,7 @@ def reports(labelled: DataFrame, dates: DataFrame, profile: Profile) -> dict[str
             "date", "asset", F.col("cumulative_return").alias("cum")
         ),
         "rolling_correlation": lambda: dates.select("date", *shown),
-        "risk_summary": lambda: ST.risk_summary(labelled, profile),
+        "risk_summary": lambda: SU.risk_summary(assets, profile),
     }
 
 
