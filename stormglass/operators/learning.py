@@ -233,7 +233,8 @@ def fold_parameters(blocks: DataFrame) -> DataFrame:
         F.array_min(F.transform("seen", lambda p: p["least"])) == F.array_max(F.transform("seen", lambda p: p["greatest"])),
         F.lit(True),
     )
-    return sized.where("rows > 0").select(
+    last = blocks.agg(F.max("folds")).scalar()
+    return sized.where((F.col("rows") > 0) & (F.col("fold") <= last)).select(
         "fold",
         "feature",
         "fill",
