@@ -102,7 +102,7 @@ def test_fold_statistics_do_not_repeat_rows(spark):
     grown = [line for line in plan.splitlines() if "Generate" in line]
     assert grown and all("sequence(1," in line or "inline" in line for line in grown)
     assert not any("a_lag1" in line and "explode" in line for line in grown)
-    assert M.fold_parameters(M.time_blocks(data)).count() == 3 * 3
+    assert M.fold_parameters(M.time_blocks(data)).count() == 4 * 3  # 120 rows make four folds of three features
 
 
 def predictions(spark, rows):
