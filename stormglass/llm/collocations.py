@@ -3,10 +3,11 @@
 A text is lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\x20\\x09]+``.
 
 - Words are counted per language; n is their sum.
-- Cutting: a phrase found ``least`` times or more has only words and pairs of neighbours found as often.
-  So pairs of frequent words are counted, and a window ends before the first pair that is rarer. Which
-  words and pairs are frequent goes to the tasks as bitmaps of fixed size over hashed places: two in one
-  place keep a window longer than need be, they never lose a count.
+- Cutting: a phrase found ``least`` times or more has only words, pairs and triples of neighbours found as
+  often. So pairs of frequent words are counted, and texts fall into chains of frequent pairs, which are
+  written; triples are counted in the chains, and a window ends before the first triple that is rarer. Which
+  words, pairs and triples are frequent goes to the tasks as bitmaps of fixed size over hashed places: two in
+  one place keep a window longer than need be, they never lose a count.
 - Top-order marginalisation: each word begins one window of up to five words, the columns w1 to w5, padded
   with 0 behind its end. Only these longest windows are counted; a ROLLUP over the columns sums them
   for the shorter prefixes, and a prefix is a phrase with all its occurrences, as each begins one window.
@@ -35,6 +36,8 @@ WORD_BITS = 26
 PAIR_BITS = 27
 HELD = 1 << 20  # rows that a task holds before it counts and sends them
 PIECE = 2 << 20
+SLICE = 1024  # words of chains in a row; a longer chain stays whole
+SLICES = 64  # rows of chains that a task lays out at a time
 BREAK = A.table(b".,;:!?\n\x0b\x0c\r")
 INSIDE = ~(BREAK | A.table(b" \t"))
 COLUMNS = [f"w{i + 1}" for i in range(LONGEST)]
@@ -128,23 +131,76 @@ def _count_pairs(frequent):
     return lambda batches: _gathered(parts(batches), ["pair"])
 
 
-def _count_windows(frequent):
-    def parts(batches):
+def _chains(frequent):
+    """Rows (language, words) with some chains of a piece, a 0 behind each: words linked by frequent pairs."""
+
+    def run(batches):
         for piece in A.pieces(batches, 1, PIECE):
             _, _, words, languages, joined, _ = _words(piece)
             if len(words) < 2:
                 continue
             keys = _word_keys(words, languages)
             linked = np.append(joined[:-1] & _in(frequent.value, _pair_keys(keys), PAIR_BITS), False)
-            at = np.flatnonzero(linked)
-            columns, alive = [keys[at]], np.ones(len(at), dtype=bool)
-            for k in range(1, LONGEST):
-                before = np.minimum(at + k - 1, len(keys) - 1)
-                alive = alive & linked[before]
-                columns.append(np.where(alive, keys[np.minimum(at + k, len(keys) - 1)], np.uint64(0)))
-            yield [languages[at].view(np.uint64), *columns]
-
-    return lambda batches: _gathered(parts(batches), ["language", *COLUMNS])
+            follows = np.append(False, linked[:-1])
+            at = np.flatnonzero(linked | follows)
+            if not len(at):
+                continue
+            begins = ~follows[at]
+            chain = np.cumsum(begins) - 1
+            out = np.zeros(len(at) + chain[-1] + 1, dtype=np.uint64)
+            out[np.arange(len(at)) + chain] = keys[at]
+            first = np.flatnonzero(begins)
+            spoken, starts = languages[at[first]], first + np.arange(len(first))
+            other = (spoken[1:] != spoken[:-1]) | (starts[1:] // SLICE != starts[:-1] // SLICE)
+            cut = np.flatnonzero(np.append(True, other))
+            offsets = np.append(starts[cut], len(out)).astype(np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(spoken[cut]), rows], names=["language", "words"])
+
+    return run
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of chains one after another, and how many each row has."""
+    words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return words, lists.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _triple_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where three words of one chain begin, and the keys of all places."""
+    second, third = (np.append(words[k:], np.zeros(min(k, len(words)), np.uint64)) for k in (1, 2))
+    whole = (words != 0) & (second != 0) & (third != 0)
+    return whole, A.mix(words * A.PLACES[0] + second * A.PLACES[1] + third * A.PLACES[2])
+
+
+def _list_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, lengths = _flat(batch.column(0))
+        whole, keys = _triple_keys(words)
+        ends = np.concatenate([[0], np.cumsum(whole)])[np.concatenate([[0], np.cumsum(lengths)])]
+        rows = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[whole].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([rows], names=["triples"])
+
+
+def _list_windows(frequent):
+    def run(batches):
+        for rows in (batch.slice(i, SLICES) for batch in batches for i in range(0, batch.num_rows, SLICES)):
+            words, lengths = _flat(rows.column(1))
+            whole, keys = _triple_keys(words)
+            kept = whole & _in(frequent.value, keys, PAIR_BITS)
+            last = len(words) - 1
+            begins = (words != 0) & np.append(words[1:] != 0, np.zeros(min(1, len(words)), dtype=bool))
+            at = np.flatnonzero(begins)
+            columns, alive = [words[at], words[np.minimum(at + 1, last)]], np.ones(len(at), dtype=bool)
+            for k in range(2, LONGEST):
+                alive = alive & kept[np.minimum(at + k - 2, last)]
+                columns.append(np.where(alive, words[np.minimum(at + k, last)], np.uint64(0)))
+            ends = np.concatenate([[0], np.cumsum(begins)])[np.concatenate([[0], np.cumsum(lengths)])]
+            windows = pa.StructArray.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=COLUMNS)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), windows)
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["language", "windows"])
+
+    return run
 
 
 def _bitmap(keys: DataFrame, key: str, bits: int) -> np.ndarray:
@@ -175,9 +231,17 @@ def mine(documents: DataFrame, least: int = 100, top: int = 2000, language: str
     known.unpersist()
 
     linked = spark.sparkContext.broadcast(_bitmap(pairs, "pair", PAIR_BITS))
-    schema = ", ".join(f"{c} bigint" for c in ("language", *COLUMNS, "n"))
-    windows = staged(A.map_arrow(rows, _count_windows(linked), schema).groupBy("language", *COLUMNS).agg(F.sum("n").alias("n")), "phrase-windows")
+    chains = staged(A.map_arrow(rows, _chains(linked), "language bigint, words array<bigint>"), "phrase-chains")
     linked.unpersist()
+
+    triples = A.map_arrow(chains.select("words"), _list_triples, "triples array<bigint>").select(F.explode("triples").alias("triple"))
+    triples = staged(triples.groupBy("triple").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("triple"), "phrase-triples")
+
+    whole = spark.sparkContext.broadcast(_bitmap(triples, "triple", PAIR_BITS))
+    schema = ", ".join(f"{c}: bigint" for c in COLUMNS)
+    windows = A.map_arrow(chains, _list_windows(whole), f"language bigint, windows array<struct<{schema}>>").select("language", F.inline("windows"))
+    windows = staged(windows.groupBy("language", *COLUMNS).agg(F.count(F.lit(1)).alias("n")), "phrase-windows")
+    whole.unpersist()
     phrases = staged(_prefixes(windows, least), "phrases")
     scored = _scored(phrases, frequent, totals)
     kept = scored.join(_covered(phrases), ["language", "words"], "left_anti")

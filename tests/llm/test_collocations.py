@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from stormglass.functions.staging import written_paths
 from stormglass.llm import collocations, queries
 from tests.llm import helpers as H
 
@@ -72,6 +73,18 @@ def test_hot_places_of_the_bitmaps_lose_nothing(spark, monkeypatch):
     assert mined(spark, rows, 4, 2000) == brute(rows, 4, 2000)
 
 
+def test_windows_end_before_rare_triples(spark, monkeypatch):
+    """All pairs are frequent and most triples are rare: no more windows than pairs and frequent triples."""
+    monkeypatch.setattr(collocations, "SLICE", 50)
+    monkeypatch.setattr(collocations, "SLICES", 3)
+    draw = random.Random(5)
+    rows = [(draw.choice(["en", "fr"]), " ".join(f"w{draw.randrange(20)}" for _ in range(300))) for _ in range(60)]
+    rows += [("en", "w1 w2 w3 w4 w5 w6")] * 10
+    assert mined(spark, rows, 9, 2000) == brute(rows, 9, 2000)
+    path = [p for p in written_paths(spark) if "phrase-windows" in p][-1]
+    assert spark.read.parquet(path).count() < 2 * 20 * 20 + 500
+
+
 def test_query_against_brute_force(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(r.lang, r.text) for r in H.table(spark, "documents", folder).select("lang", "text").collect()]
